@@ -102,17 +102,17 @@ STOP_SQL = ", ".join(f"'{w}'" for w in STOP_WORDS)
 RULE_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text,
         regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws,
-        list_filter(string_split(coalesce(text, ''), chr(10)), x -> length(trim(x, {WHITE})) > 0) AS ls FROM documents),
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(trim(x, {WHITE})) > 0) AS ls FROM documents),
 w AS (SELECT doc_id, i, array_to_string(ws[i:i+4], ' ') AS win FROM d, unnest(range(1, len(ws) - 3)) AS u(i)),
 again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, win) AS c FROM w) WHERE c >= 2),
 cov AS (SELECT doc_id, count(DISTINCT j) AS n FROM again, unnest(range(i, i + 5)) AS u(j) GROUP BY doc_id),
 m AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words,
-        coalesce(list_sum(list_transform(ws, x -> length(x))), 0)::BIGINT AS word_chars,
+        coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
         len(ls)::BIGINT AS n_lines,
         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
         coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
-        len(list_filter(ws, x -> list_contains([{STOP_SQL}], translate(lower(x), '.,;:!?', ''))))::BIGINT AS n_stop
+        len(list_filter(ws, lambda x: list_contains([{STOP_SQL}], translate(lower(x), '.,;:!?', ''))))::BIGINT AS n_stop
       FROM d LEFT JOIN cov ON cov.doc_id = d.doc_id),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
