@@ -66,7 +66,8 @@ def keep_flags(n_lines: Column, dropped: Column) -> Column:
 
 def dropped_lines(docs: DataFrame, min_docs: int, min_chars: int, keep_first: bool, id_col: str, text_col: str) -> DataFrame:
     """(doc, th, dropped): runs of dropped lines, for rows that lose any."""
-    rows = line_rows(docs, id_col, text_col, min_chars)
+    # the texts are cut into lines once; sketch, ranges and sums read the small rows
+    rows = stored(line_rows(docs, id_col, text_col, min_chars), "lines")
     top = rows.agg(F.expr(f"approx_top_k(a, {HEAVY}, {SKETCH})").alias("top")).first()["top"]
     total = sum(x["count"] for x in top)
     heavy = [x["item"] for x in top if x["count"] > max(1000, total // (4 * HEAVY))]
