@@ -15,7 +15,6 @@ in the number of cuts.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.encoding import encoder
-from tesserae.llm.textcore import text_blocks
+from tesserae.llm.textcore import gather_runs, text_blocks
 from tesserae.llm.token_files import in_id_order, with_end
 
 #: Padded tokens that one cut is worth: at a sentence's end, elsewhere in a document; and a window's own cost, which breaks ties.
@@ -44,42 +43,61 @@ def sentence_ends(tokenizer) -> np.ndarray:
     return out
 
 
+_sentence_ends: dict[str, np.ndarray] = {}
+
+
 def cuts(n: int, doc_ends: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions at which windows may end, ascending from 0 to n, and their penalties."""
-    soft = np.union1d(np.append(0, doc_ends), sentence)
+    penalty = np.full(n + 1, np.inf, np.float32)
+    penalty[sentence] = SENTENCE_CUT
+    penalty[0] = penalty[doc_ends] = 0
+    soft = np.flatnonzero(penalty < np.inf)
     gap = np.diff(soft)
-    hard = [np.arange(a + HARD_STEP, a + g, HARD_STEP) for a, g in zip(soft[:-1][gap > HARD_GAP], gap[gap > HARD_GAP])]
-    at = np.union1d(soft, np.concatenate(hard)) if hard else soft
-    penalty = np.full(len(at), HARD_CUT)
-    penalty[np.isin(at, soft, assume_unique=True)] = SENTENCE_CUT
-    penalty[np.isin(at, doc_ends)] = 0
-    return at, penalty
+    wide = gap > HARD_GAP
+    steps = (gap[wide] - 1) // HARD_STEP
+    penalty[np.repeat(soft[:-1][wide], steps) + HARD_STEP * (1 + gather_runs(np.zeros(len(steps), np.int64), steps))] = HARD_CUT
+    at = np.flatnonzero(penalty < np.inf)
+    return at, penalty[at].astype(np.float64)
 
 
 def plan(at: np.ndarray, penalty: np.ndarray, size: int) -> np.ndarray:
     """Indices of the chosen cuts, first 0 and last len(at) - 1, at the least total cost."""
-    p, pen = at.tolist(), penalty.tolist()
-    n = len(p)
-    index = dict(zip(p, range(n)))
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k < size]
+    n = len(at)
+    # for each cut, the cuts a power of two before it
+    froms, tos = [], []
+    for w in (1 << k for k in range(size.bit_length()) if 1 << k < size):
+        k = np.searchsorted(at, at - w)
+        hit = np.flatnonzero((at >= w) & (at[np.minimum(k, n - 1)] == at - w))
+        froms.append(k[hit])
+        tos.append(hit)
+    froms, tos = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (froms, tos))
+    order = np.argsort(tos, kind="stable")
+    exact = froms[order].tolist()
+    first = np.searchsorted(tos[order], np.arange(n + 1)).tolist()
+    p, base = at.tolist(), (penalty + WINDOW).tolist()
     f, back = [0.0] * n, [0] * n
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])
+    # the queue: cuts in order with ascending f + p; its head is the best start within reach
+    queue, keys, head = [0], [0.0], 0
     for j in range(1, n):
         pj = p[j]
-        while p[queue[0][1]] < pj - size:
-            queue.popleft()
-        best, i = queue[0]
-        best += size - pj
-        for w in powers:
-            k = index.get(pj - w)
-            if k is not None and f[k] < best:
+        while p[queue[head]] < pj - size:
+            head += 1
+        i = queue[head]
+        best = keys[head] + size - pj
+        a, b = first[j], first[j + 1]
+        while a < b:
+            k = exact[a]
+            if f[k] < best:
                 best, i = f[k], k
-        f[j] = best = best + pen[j] + WINDOW
+            a += 1
+        f[j] = best = best + base[j]
         back[j] = i
         best += pj
-        while queue and queue[-1][0] > best:
+        while len(keys) > head and keys[-1] > best:
+            keys.pop()
             queue.pop()
-        queue.append((best, j))
+        keys.append(best)
+        queue.append(j)
     out = [n - 1]
     while out[-1]:
         out.append(back[out[-1]])
@@ -91,7 +109,9 @@ def pack_block(ids: np.ndarray, at: np.ndarray, ends: np.ndarray, size: int) ->
     n = len(ids)
     where, penalty = cuts(n, at[1:], np.flatnonzero(ends[np.minimum(ids, len(ends) - 1)]) + 1)
     windows = where[plan(where, penalty, size)]
-    bounds = np.union1d(windows, at)
+    marks = np.zeros(n + 1, bool)
+    marks[windows] = marks[at] = True
+    bounds = np.flatnonzero(marks)
     a, b = bounds[:-1], bounds[1:]
     doc = np.searchsorted(at, a, "right") - 1
     seq = np.searchsorted(windows, a, "right") - 1
@@ -120,7 +140,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_i
         from pyspark import TaskContext
 
         enc = encoder(tokenizer_path)
-        ends = sentence_ends(enc.tokenizer)
+        if tokenizer_path not in _sentence_ends:
+            _sentence_ends[tokenizer_path] = sentence_ends(enc.tokenizer)
+        ends = _sentence_ends[tokenizer_path]
         sequence = TaskContext.get().partitionId() << 32
         held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
         n = 0
