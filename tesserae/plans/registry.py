@@ -329,3 +329,177 @@ register(
     "analyze_ngram",
     "SELECT term, count(DISTINCT c_custkey) AS df, count(*) AS cf FROM (SELECT c_custkey, unnest(list_concat(list_transform(range(1, length(c_name) + 1), lambda i: c_name[i:i]), list_transform(range(1, length(c_name)), lambda i: c_name[i:i+1]))) AS term FROM customer) GROUP BY term",
 )(lambda spark, sf_dir: ScanView(table(spark, sf_dir, "customer"), Schema("c_custkey", {"f": FieldSpec("c_name", an.Analyzer(an.ngram(1, 2)))})).dictionary("f"))
+
+
+# --- index maintenance -------------------------------------------------------------------------
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tesserae-")
+    return f"{root.rstrip('/')}/index-{uuid.uuid4().hex}"
+
+
+PARTS = Schema("p_partkey", {"name": FieldSpec("p_name", an.WHITESPACE), "brand": keyword_field("p_brand"), "type": FieldSpec("p_type", an.SIMPLE)})
+PART_TERMS = "regexp_extract_all(p_name, '[^\\p{Z}\\t\\n\\r\\f]+')"
+
+
+def part_index(spark: SparkSession, sf_dir: str, path: str | None = None):
+    from tesserae.sources.index import IndexWriter
+
+    parts = table(spark, sf_dir, "part")
+    w = IndexWriter(spark, path or scratch(spark), PARTS, create=True)
+    w.add(parts.where("p_partkey % 2 = 0"))
+    w.add(parts.where("p_partkey % 2 = 1"))
+    return w
+
+
+def first_term(spark: SparkSession, sf_dir: str) -> str:
+    return table(spark, sf_dir, "part").agg(F.min(F.split("p_name", " ")[0])).first()[0]
+
+
+@register(
+    "index_search",
+    f"""WITH d AS (SELECT p_partkey, {PART_TERMS} AS ts FROM part), t AS (SELECT p_partkey, unnest(ts) AS term FROM d),
+q AS (SELECT min(string_split(p_name, ' ')[1]) AS term FROM part), p AS (SELECT p_partkey, count(*) AS tf FROM t JOIN q USING (term) GROUP BY p_partkey),
+i AS (SELECT ln((SELECT count(*) FROM part) / (count(*) + 1)) + 1 AS idf FROM p),
+n AS (SELECT p_partkey, {NORM} AS norm FROM (SELECT p_partkey, 1 / sqrt(len(ts)) AS x FROM d WHERE len(ts) > 0))
+SELECT p_partkey, round(sqrt(tf) * idf * norm, 6) AS score FROM p JOIN n USING (p_partkey), i""",
+)
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = part_index(spark, sf_dir)
+    w.commit()
+    return Searcher(w.reader()).hits(A.Term("name", first_term(spark, sf_dir)))
+
+
+@register("index_delete", "SELECT p_partkey, p_brand FROM part WHERE p_brand <> (SELECT min(p_brand) FROM part)")
+def index_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = part_index(spark, sf_dir)
+    w.delete_terms("brand", table(spark, sf_dir, "part").agg(F.min("p_brand")).first()[0])
+    w.commit()
+    return w.reader().docs().select("p_partkey", "p_brand")
+
+
+@register("index_update", "SELECT CASE WHEN p_brand = (SELECT max(p_brand) FROM part) THEN p_partkey + 1000000 ELSE p_partkey END AS p_partkey, p_brand FROM part")
+def index_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = part_index(spark, sf_dir)
+    parts = table(spark, sf_dir, "part")
+    last = parts.agg(F.max("p_brand")).first()[0]
+    w.update("brand", last, parts.where(F.col("p_brand") == last).withColumn("p_partkey", F.col("p_partkey") + 1000000))
+    w.commit()
+    w.optimize()
+    w.commit()
+    return w.reader().docs().select("p_partkey", "p_brand")
+
+
+@register("multi_reader", "SELECT id, name FROM (SELECT s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT 1000000 + c_custkey, c_name FROM customer) WHERE name LIKE '%1%'")
+def multi_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.sources.index import multi
+
+    both = multi(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), table(spark, sf_dir, "customer").select((F.col("c_custkey") + 1000000).alias("id"), F.col("c_name").alias("name")))
+    s = Searcher(ScanView(both, Schema("id", {"name": keyword_field("name")})))
+    return s.hits(A.Wildcard("name", "*1*"), columns=("name",)).drop("score")
+
+
+@register("parallel_reader", "SELECT doc_id, lang, quality FROM documents JOIN labels USING (doc_id)")
+def parallel_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.sources.index import parallel
+
+    labels = table(spark, sf_dir, "labels")
+    docs = table(spark, sf_dir, "documents").join(labels.select("doc_id"), "doc_id", "left_semi")
+    return parallel(docs.select("doc_id", "lang"), labels.select("doc_id", "quality"))
+
+
+@register("repeated_field", "WITH t AS (SELECT conv_id, lower(text) AS s FROM conversations), u AS (SELECT conv_id, unnest(regexp_extract_all(s, '\\p{L}+')) AS term FROM t) SELECT term, count(DISTINCT conv_id) AS df, count(*) AS cf FROM u GROUP BY term")
+def repeated_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("turns"))
+    return ScanView(turns, Schema("conv_id", {"turns": FieldSpec("turns", an.SIMPLE, repeated=True)})).dictionary("turns")
+
+
+# --- sets, codecs, highlighting, stored queries -------------------------------------------------
+
+
+def docs_with(spark: SparkSession, sf_dir: str, term: str) -> DataFrame:
+    return searcher(spark, sf_dir).hits(A.Term("text", term)).select("doc_id")
+
+
+def set_query(name: str, op: str, sql: str) -> None:
+    @register(name, f"WITH {TOKENS}, a AS (SELECT DISTINCT doc_id FROM t WHERE term = 'with'), b AS (SELECT DISTINCT doc_id FROM t WHERE term = 'from') {sql}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from tesserae.operators import filters
+
+        return getattr(filters, op)(docs_with(spark, sf_dir, "with"), docs_with(spark, sf_dir, "from"))
+
+
+set_query("set_and", "both", "SELECT * FROM a INTERSECT SELECT * FROM b")
+set_query("set_or", "either", "SELECT * FROM a UNION SELECT * FROM b")
+set_query("set_and_not", "without", "SELECT * FROM a EXCEPT SELECT * FROM b")
+set_query("set_xor", "one_of", "(SELECT * FROM a EXCEPT SELECT * FROM b) UNION (SELECT * FROM b EXCEPT SELECT * FROM a)")
+
+
+@register("set_not", f"WITH {TOKENS} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM t WHERE term = 'with')")
+def set_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.operators.filters import flipped
+
+    return flipped(docs_with(spark, sf_dir, "with"), table(spark, sf_dir, "documents").select("doc_id"))
+
+
+@register("date_strings", "SELECT event_id, strftime(ts, '%Y') AS y, strftime(ts, '%Y%m%d') AS d, strftime(ts, '%Y%m%d%H%M%S') AS s FROM events")
+def date_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.functions.codecs import date_string
+
+    return table(spark, sf_dir, "events").select("event_id", date_string(F.col("ts"), "year").alias("y"), date_string(F.col("ts"), "day").alias("d"), date_string(F.col("ts"), "second").alias("s"))
+
+
+@register("number_strings", "SELECT o_orderkey, o_orderkey AS back, true AS sorted FROM orders")
+def number_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.functions.codecs import long_string, string_long
+
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", string_long(long_string(k)).alias("back"), ((long_string(-k) < long_string(k)) & (long_string(k) < long_string(k + 1))).alias("sorted"))
+
+
+@register("highlight_whole", "SELECT p_partkey, regexp_replace(p_name, '\\b(green|blue|red)\\b', '<B>\\1</B>', 'g') AS marked FROM part")
+def highlight_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.operators.highlight import highlight_whole
+
+    return table(spark, sf_dir, "part").select("p_partkey", highlight_whole(F.col("p_name"), ["green", "blue", "red"]).alias("marked"))
+
+
+@register("highlight_fragments")
+def highlight_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.operators.highlight import highlight
+
+    q = A.any_of(A.Term("text", "with"), A.Term("text", "from"))
+    s = searcher(spark, sf_dir)
+    top = s.search(q, 10, columns=("text",))
+    return top.select("doc_id", highlight(F.col("text"), q, 2).alias("fragments"))
+
+
+@register("stored_queries", f"WITH {TOKENS} SELECT 'must' AS query, doc_id FROM t WHERE term IN ('with', 'from') GROUP BY doc_id HAVING count(DISTINCT term) = 2 UNION ALL SELECT DISTINCT 'prefix', doc_id FROM t WHERE starts_with(term, 'zu')")
+def stored_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.streaming.prospective import match_stored
+
+    stored = {"must": A.all_of(A.Term("text", "with"), A.Term("text", "from")), "prefix": A.Prefix("text", "zu")}
+    return match_stored(spread(table(spark, sf_dir, "documents")), DOCS, stored).select("query", "doc_id")
+
+
+@register("parsed_query", f"WITH {weights({'the': 1, 'with': 2})} SELECT doc_id, round(sum(s) * count(*) / 2, 6) AS score FROM h GROUP BY doc_id HAVING bool_or(term = 'the') AND doc_id NOT IN (SELECT doc_id FROM p WHERE term = 'from') {topk(10)}")
+def parsed_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.plans.parser import QueryParser
+
+    return searcher(spark, sf_dir).search(QueryParser("text").parse("+the with^2 -from"), 10)
+
+
+@register("event_counts", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.streaming.prospective import windowed_counts
+
+    return windowed_counts(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))

@@ -1,13 +1,312 @@
-"""A written index: snapshots of documents, postings, norms and deletes."""
+"""A written index: immutable segments, deletes, and versioned commits.
+
+``path/segments/s`` holds a segment's documents (with each field's length) and
+its postings, range-partitioned and sorted by (field, term), so a term's rows
+lie in few row groups.  ``path/commits/n.json`` names the segments and deletes
+of version n with user data; a commit appears by a rename, so readers see whole
+versions.  A delete is a row (id, limit): it hides the id in segments numbered
+below the limit, so documents added later survive.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.functions.similarity import Similarity
+from tesserae.plans import ast as A
+from tesserae.plans.search import DOC, POSITIONS, Compiler, Leaf, ScanView, norm_name, slot
+from tesserae.schema import Schema
+
 
 def audit(postings: DataFrame) -> DataFrame:
     """One row over (term, doc, tf, positions): counts, and the postings that break an invariant."""
     bad = (F.size("positions") != F.col("tf")) | (F.col("positions") != F.sort_array("positions")) | (F.element_at("positions", 1) < 0)
     per_term = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"), F.count_if(bad).alias("bad"))
     return per_term.agg(F.count("*").alias("n_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("n_postings"), F.coalesce(F.sum("cf"), F.lit(0)).alias("n_tokens"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad"))
+
+
+class Files:
+    """Small files beside the tables, by the session's own filesystem layer."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        jvm = spark._jvm
+        self.path_of = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+        self.root = path
+        self.fs = self.path_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self, folder: str) -> list[str]:
+        p = self.path_of(f"{self.root}/{folder}")
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(p)) if self.fs.exists(p) else []
+
+    def read(self, name: str) -> str:
+        stream = self.fs.open(self.path_of(f"{self.root}/{name}"))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def write(self, name: str, text: str) -> None:
+        """Whole or not at all; an existing file is an error."""
+        temp = self.path_of(f"{self.root}/{name}.{uuid.uuid4().hex}.tmp")
+        out = self.fs.create(temp)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not self.fs.rename(temp, self.path_of(f"{self.root}/{name}")):
+            self.fs.delete(temp, False)
+            raise FileExistsError(f"{name} was written by another")
+
+    def delete(self, name: str) -> None:
+        self.fs.delete(self.path_of(f"{self.root}/{name}"), True)
+
+
+@dataclass
+class Commit:
+    version: int
+    segments: list[str] = field(default_factory=list)
+    deletes: list[str] = field(default_factory=list)
+    next_segment: int = 0
+    user_data: dict[str, str] = field(default_factory=dict)
+
+
+def commits(spark: SparkSession, path: str) -> list[int]:
+    return [int(n[:-5]) for n in Files(spark, path).names("commits") if n.endswith(".json")]
+
+
+def read_commit(spark: SparkSession, path: str, version: int | None = None) -> Commit:
+    known = commits(spark, path)
+    if not known:
+        raise FileNotFoundError(f"no index at {path}")
+    version = max(known) if version is None else version
+    return Commit(**json.loads(Files(spark, path).read(f"commits/{version:08d}.json")))
+
+
+class IndexWriter:
+    """Adds, updates and deletes documents; nothing shows before ``commit``.
+
+    ``keep`` commits stay readable (1: only the last); ``hold`` keeps one until
+    ``release``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: Schema, create: bool = False, keep: int = 1):
+        self.spark, self.path, self.schema, self.keep = spark, path, schema, keep
+        self.files = Files(spark, path)
+        known = commits(spark, path)
+        self.base = read_commit(spark, path) if known else Commit(0)
+        self.held: set[int] = set()
+        self.now = Commit(self.base.version) if create else Commit(**vars(self.base))
+        self.now.segments, self.now.deletes = list(self.now.segments), list(self.now.deletes)
+        self.now.next_segment = self.base.next_segment
+
+    def _table(self, folder: str, df: DataFrame) -> str:
+        name = f"{folder}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{folder}/{name}")
+        return name
+
+    def add(self, docs: DataFrame) -> None:
+        """A new segment of documents with distinct ids."""
+        n = self.now.next_segment
+        view = ScanView(docs, self.schema)
+        fields = sorted(self.schema.fields)
+        streams = [view._stream(f).alias(f"__t_{f}") for f in fields]
+        analyzed = docs.select("*", *streams)
+        lengths = [F.size(f"__t_{f}").alias(f"__len_{f}") for f in fields]
+        name = f"{n:06d}-{uuid.uuid4().hex}"
+        analyzed.select(*docs.columns, *lengths).write.parquet(f"{self.path}/segments/{name}/docs")
+        boost = F.col(self.schema.boost_col).cast("double") if self.schema.boost_col else F.lit(1.0)
+        parts = []
+        for f in fields:
+            t = analyzed.select(F.col(self.schema.id_col).alias("doc"), F.size(f"__t_{f}").alias("len"), boost.alias("boost"), F.explode(f"__t_{f}").alias("t"))
+            # a document's tokens stand in one row, so their grouping needs no rows of other tasks beyond the partial sums
+            g = t.groupBy(F.lit(f).alias("field"), F.col("t.term").alias("term"), "doc").agg(F.first("len").alias("len"), F.first("boost").alias("boost"), F.count("*").alias("tf"), F.sort_array(F.collect_list("t.pos")).alias("positions"))
+            parts.append(g)
+        n_parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        postings = reduce(DataFrame.unionByName, parts).repartitionByRange(n_parts, "field", "term", "doc").sortWithinPartitions("field", "term", "doc")
+        postings.write.parquet(f"{self.path}/segments/{name}/postings")
+        self.now.segments.append(name)
+        self.now.next_segment = n + 1
+
+    def delete_ids(self, ids: DataFrame) -> None:
+        rows = ids.select(F.col(ids.columns[0]).alias("id")).distinct().withColumn("below", F.lit(self.now.next_segment))
+        self.now.deletes.append(self._table("deletes", rows))
+
+    def delete_terms(self, field_name: str, *terms: str) -> None:
+        self.delete_query(A.any_of(*[A.Term(field_name, t) for t in terms], disable_coord=True))
+
+    def delete_query(self, query: A.Query) -> None:
+        if self.now.segments:
+            self.delete_ids(Compiler(self.reader(), query).hits().select(self.schema.id_col))
+
+    def update(self, field_name: str, term: str, docs: DataFrame) -> None:
+        """Deletes what has the term, and adds."""
+        self.delete_terms(field_name, term)
+        self.add(docs)
+
+    def delete_all(self) -> None:
+        self.now.segments, self.now.deletes = [], []
+
+    def add_indexes(self, *readers: IndexReader) -> None:
+        """Other indexes' live documents, as segments of this one."""
+        for r in readers:
+            self.add(r.docs())
+
+    def optimize(self) -> None:
+        """One segment of the live documents; deletes are gone from it."""
+        if self.now.segments:
+            live = self.reader().docs()
+            held = f"{self.path}/rewrite/{uuid.uuid4().hex}"
+            live.write.parquet(held)
+            self.delete_all()
+            self.add(self.spark.read.parquet(held))
+
+    def reader(self) -> IndexReader:
+        """A view of what is committed and what is pending."""
+        return IndexReader(self.spark, self.path, self.schema, Commit(**vars(self.now)))
+
+    def prepare(self, user_data: dict[str, str] | None = None) -> Commit:
+        return Commit(self.base.version + 1, list(self.now.segments), list(self.now.deletes), self.now.next_segment, dict(user_data or self.now.user_data))
+
+    def commit(self, user_data: dict[str, str] | None = None) -> int:
+        c = self.prepare(user_data)
+        self.files.write(f"commits/{c.version:08d}.json", json.dumps(vars(c)))
+        self.base, self.now = c, Commit(c.version, list(c.segments), list(c.deletes), c.next_segment, dict(c.user_data))
+        for v in commits(self.spark, self.path)[: -self.keep]:
+            if v not in self.held:
+                self.files.delete(f"commits/{v:08d}.json")
+        return c.version
+
+    def rollback(self) -> None:
+        self.now = Commit(self.base.version, list(self.base.segments), list(self.base.deletes), self.base.next_segment, dict(self.base.user_data))
+
+    def hold(self) -> int:
+        self.held.add(self.base.version)
+        return self.base.version
+
+    def release(self, version: int) -> None:
+        self.held.discard(version)
+
+
+@dataclass
+class IndexReader:
+    """A version of an index as a view for searching."""
+
+    spark: SparkSession
+    path: str
+    schema: Schema
+    commit: Commit
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, schema: Schema, version: int | None = None) -> IndexReader:
+        return cls(spark, path, schema, read_commit(spark, path, version))
+
+    def is_current(self) -> bool:
+        return max(commits(self.spark, self.path)) == self.commit.version
+
+    def reopen(self) -> IndexReader:
+        return self if self.is_current() else IndexReader.open(self.spark, self.path, self.schema)
+
+    def _all(self, part: str) -> DataFrame:
+        if not self.commit.segments:
+            raise ValueError("the index has no segments")
+        parts = [self.spark.read.parquet(f"{self.path}/segments/{s}/{part}").withColumn("__seg", F.lit(int(s[:6]))) for s in self.commit.segments]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    def _live(self, rows: DataFrame, key: str) -> DataFrame:
+        """Rows whose document no delete hides."""
+        if not self.commit.deletes:
+            return rows
+        gone = reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.path}/deletes/{d}") for d in self.commit.deletes]).groupBy("id").agg(F.max("below").alias("below"))
+        return rows.join(gone, (F.col(key) == F.col("id")) & (F.col("__seg") < F.col("below")), "left_anti")
+
+    def docs(self) -> DataFrame:
+        """Live documents with their stored columns."""
+        d = self._live(self._all("docs"), self.schema.id_col)
+        return d.select(*[c for c in d.columns if not c.startswith("__")])
+
+    def max_doc(self) -> int:
+        return self._all("docs").count()
+
+    def num_docs(self) -> int:
+        return self.docs().count()
+
+    def postings(self, f: str) -> DataFrame:
+        return self._live(self._all("postings").where(F.col("field") == f), "doc").select("term", F.col("doc").alias(DOC), "tf", "positions")
+
+    def dictionary(self, f: str) -> DataFrame:
+        return self.postings(f).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+    def _found(self, leaves: list[Leaf]) -> DataFrame:
+        """Postings of the leaves; the test of field and term reaches the sorted files."""
+        tests = [(F.col("field") == x.field) & ((F.col("term") == x.term) if x.pred is None else x.pred(F.col("term"))) for x in leaves]
+        return self._live(self._all("postings").where(reduce(lambda a, b: a | b, tests)), "doc")
+
+    def doc_freqs(self, leaves: list[Leaf], sim: Similarity) -> tuple[list[int], int]:
+        n = self.num_docs()
+        if not leaves:
+            return [], n
+        rows = self._found(leaves).groupBy("field", "term").agg(F.count("*").alias("df")).collect()  # a row per query term
+        df = {(r["field"], r["term"]): r["df"] for r in rows}
+        return [df.get((x.field, x.term), 0) for x in leaves], n
+
+    def rows(self, leaves: list[Leaf], norm_fields: set[str], columns: set[str], all_docs: bool, sim: Similarity) -> DataFrame:
+        out = None
+        if leaves:
+            aggs: list[Column] = []
+            for i, x in enumerate(leaves):
+                mine = (F.col("field") == x.field) & ((F.col("term") == x.term) if x.pred is None else x.pred(F.col("term")))
+                value = F.transform("positions", lambda _: F.col("term")) if x.terms else F.col("positions")
+                kind = "array<string>" if x.terms else POSITIONS
+                aggs.append(F.sort_array(F.flatten(F.collect_list(F.when(mine, value)))).cast(kind).alias(slot(i)))
+            norms = [F.max(F.when(F.col("field") == f, F.struct("len", "boost"))).alias(f"__l_{f}") for f in sorted(norm_fields)]
+            out = self._found(leaves).groupBy(F.col("doc").alias(DOC)).agg(*aggs, *norms)
+            for f in sorted(norm_fields):
+                spec = self.schema.fields[f]
+                out = out.withColumn(norm_name(f), sim.norm(F.col(f"__l_{f}.len"), F.col(f"__l_{f}.boost") * spec.boost) if spec.norms else F.lit(1.0)).drop(f"__l_{f}")
+        if not all_docs and not columns and out is not None:
+            return out
+        d = self._live(self._all("docs"), self.schema.id_col)
+        boost = F.col(self.schema.boost_col).cast("double") if self.schema.boost_col else F.lit(1.0)
+        own = [(sim.norm(F.col(f"__len_{f}"), boost * self.schema.fields[f].boost) if self.schema.fields[f].norms else F.lit(1.0)).alias(f"__own_{f}") for f in sorted(norm_fields)]
+        base = d.select(F.col(self.schema.id_col).alias("__id"), *[F.col(c).alias(f"__c_{c}") for c in sorted(columns)], *own)
+        if out is None:
+            return base.select(F.col("__id").alias(DOC), *[F.col(f"__own_{f}").alias(norm_name(f)) for f in sorted(norm_fields)], *[f"__c_{c}" for c in sorted(columns)])
+        joined = base.join(out, F.col("__id") == F.col(DOC), "left" if all_docs else "inner")
+        slots = [F.coalesce(slot(i), F.array().cast("array<string>" if x.terms else POSITIONS)).alias(slot(i)) for i, x in enumerate(leaves)]
+        return joined.select(F.col("__id").alias(DOC), *slots, *[F.coalesce(norm_name(f), f"__own_{f}").alias(norm_name(f)) for f in sorted(norm_fields)], *[f"__c_{c}" for c in sorted(columns)])
+
+
+def multi(*frames: DataFrame) -> DataFrame:
+    """Several readers' documents as one; statistics over the union are global."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def parallel(first: DataFrame, *others: DataFrame, on: str = "doc_id") -> DataFrame:
+    """The same documents' fields from several tables; the first table that has a field wins.
+
+    All must have one set of ids; a table with more or fewer rows is an error.
+    """
+    n = first.count()
+    out = first
+    for o in others:
+        if o.count() != n:
+            raise ValueError("parallel tables must have one number of documents")
+        new = [c for c in o.columns if c == on or c not in out.columns]
+        out = out.join(o.select(*new), on)
+    return out
+
+
+def files_as_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, modified, contents) of text files, the time at minutes."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return raw.select("path", F.date_format("modificationTime", "yyyyMMddHHmm").alias("modified"), F.decode("content", "UTF-8").alias("contents"))
+
+
+def fields_of(docs: DataFrame, load: Callable[[str], bool]) -> DataFrame:
+    """Stored fields that a selector names."""
+    return docs.select(*[c for c in docs.columns if load(c)])
