@@ -221,8 +221,8 @@ class IndexReader:
         """Rows whose document no delete hides."""
         if not self.commit.deletes:
             return rows
-        gone = reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.path}/deletes/{d}") for d in self.commit.deletes]).groupBy("id").agg(F.max("below").alias("below"))
-        return rows.join(gone, (F.col(key) == F.col("id")) & (F.col("__seg") < F.col("below")), "left_anti")
+        gone = reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.path}/deletes/{d}") for d in self.commit.deletes]).groupBy(F.col("id").alias("__gone")).agg(F.max("below").alias("__below"))
+        return rows.join(gone, (F.col(key) == F.col("__gone")) & (F.col("__seg") < F.col("__below")), "left_anti")
 
     def docs(self) -> DataFrame:
         """Live documents with their stored columns."""
