@@ -109,7 +109,86 @@ def arabic(w: str) -> str:
     return w
 
 
-NAMES: dict[str, Callable[[str], str]] = {"porter": porter, "arabic": arabic}
+def _region(w: str, vowels: str, start: int = 0) -> int:
+    """Where the part after the first consonant behind a vowel begins, from ``start`` on."""
+    for i in range(start + 1, len(w)):
+        if w[i] not in vowels and w[i - 1] in vowels:
+            return i + 1
+    return len(w)
+
+
+def _ends(w: str, suffixes, at: int) -> str:
+    """The longest suffix that lies wholly behind ``at``."""
+    return max((s for s in suffixes if w.endswith(s) and len(w) - len(s) >= at), key=len, default="")
+
+
+def german(w: str) -> str:
+    """The published German algorithm of the Snowball family."""
+    vowels = "aeiouyäöü"
+    w = w.replace("ß", "ss")
+    w = "".join(c.upper() if c in "uy" and 0 < i < len(w) - 1 and w[i - 1] in vowels and w[i + 1] in vowels else c for i, c in enumerate(w))
+    r1 = _region(w, vowels)
+    r2 = _region(w, vowels, r1)
+    r1 = max(r1, 3)
+    s = max((x for x in ("em", "ern", "er", "e", "en", "es", "s") if w.endswith(x)), key=len, default="")
+    if s and len(w) - len(s) >= r1 and (s != "s" or w[-2:-1] in tuple("bdfghklmnrt")):
+        w = w[: -len(s)]
+        if s in ("e", "en", "es") and w.endswith("niss"):
+            w = w[:-1]
+    s = max((x for x in ("en", "er", "est", "st") if w.endswith(x)), key=len, default="")
+    if s and len(w) - len(s) >= r1 and (s != "st" or len(w) >= 6 and w[-3] in "bdfghklmnt"):
+        w = w[: -len(s)]
+    s = max((x for x in ("end", "ung", "ig", "ik", "isch", "lich", "heit", "keit") if w.endswith(x)), key=len, default="")
+    if s and len(w) - len(s) >= r2:
+        head = w[: -len(s)]
+        if s in ("end", "ung"):
+            w = head
+            if w.endswith("ig") and len(w) - 2 >= r2 and not w.endswith("eig"):
+                w = w[:-2]
+        elif s in ("ig", "ik", "isch"):
+            if not head.endswith("e"):
+                w = head
+        elif s in ("lich", "heit"):
+            w = head
+            if w.endswith(("er", "en")) and len(w) - 2 >= r1:
+                w = w[:-2]
+        else:
+            w = head
+            if (x := _ends(w, ("lich", "ig"), r2)):
+                w = w[: -len(x)]
+    return w.lower().translate(str.maketrans("äöü", "aou"))
+
+
+def _scandinavian(main: tuple[str, ...], s_after: str, pairs: tuple[str, ...], last: tuple[str, ...], vowels: str) -> Callable[[str], str]:
+    """The common shape of the published Swedish and Norwegian algorithms."""
+    def stem(w: str) -> str:
+        r1 = max(_region(w, vowels), 3)
+        if x := _ends(w, (*main, "s"), r1):
+            if x != "s":
+                w = w[: -len(x)]
+            elif len(w) > 1 and w[-2] in s_after:
+                w = w[:-1]
+        if _ends(w, pairs, r1):
+            w = w[:-1]
+        if x := _ends(w, last, r1):
+            w = w[: -len(x)]
+        return w
+
+    return stem
+
+
+# The endings of the published Swedish algorithm.
+_SWEDISH = tuple("a arna erna heterna orna ad e ade ande arne are aste en anden aren heten ern ar er heter or as arnas ernas ornas es ades andes ens arens hetens erns at andet het ast".split())
+_swedish_steps = _scandinavian(_SWEDISH, "bcdfghjklmnoprtvy", ("dd", "gd", "nn", "dt", "gt", "kt", "tt"), ("lig", "els", "ig"), "aeiouyäåö")
+
+
+def swedish(w: str) -> str:
+    out = _swedish_steps(w)
+    r1 = max(_region(w, "aeiouyäåö"), 3)
+    return out[:-1] if _ends(out, ("löst", "fullt"), r1) else out
+
+
+NAMES: dict[str, Callable[[str], str]] = {"porter": porter, "arabic": arabic, "german": german, "swedish": swedish}
 
 
 def by_name(name: str) -> Callable[[str], str]:

@@ -191,6 +191,16 @@ hits(
 )
 hits("field_mask", A.SpanNear((st("of"), A.FieldMask(A.SpanTerm("stopped", "from"), "text")), 60, True), None)
 
+# payloads: every token carries its length
+PAID = Schema("doc_id", {"text": FieldSpec("text", an.SIMPLE, payload=lambda t: F.length(t["term"]) + t["pos"] % 3)})
+WITH_HITS = f"WITH {weights({'with': 1})}, pay AS (SELECT doc_id, avg(4 + pos % 3) AS a, max(4 + pos % 3) AS m FROM t WHERE term = 'with' GROUP BY doc_id)"
+register("payload_term", f"{WITH_HITS} SELECT doc_id, round(s / sqrt(2) * a, 6) AS score FROM h JOIN pay USING (doc_id)")(
+    lambda spark, sf_dir: Searcher(ScanView(spread(table(spark, sf_dir, "documents")), PAID)).hits(A.Payload(st("with"), "avg"))
+)
+register("payload_only", f"{WITH_HITS} SELECT doc_id, m::DOUBLE AS score FROM h JOIN pay USING (doc_id)")(
+    lambda spark, sf_dir: Searcher(ScanView(spread(table(spark, sf_dir, "documents")), PAID)).hits(A.Payload(st("with"), "max", include_span_score=False))
+)
+
 # multi-term queries
 CONST = "SELECT DISTINCT doc_id, 1.0::DOUBLE AS score FROM t WHERE "
 hits("prefix_query", A.Prefix("text", "tion"), f"WITH {TOKENS} {CONST} starts_with(term, 'tion')")
@@ -463,7 +473,7 @@ def number_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.functions.codecs import long_string, string_long
 
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_orderkey", string_long(long_string(k)).alias("back"), ((long_string(-k) < long_string(k)) & (long_string(k) < long_string(k + 1))).alias("sorted"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", string_long(long_string(k)).alias("back"), ((long_string(-k - 1) < long_string(k)) & (long_string(k) < long_string(k + 1))).alias("sorted"))
 
 
 @register("highlight_whole", "SELECT p_partkey, regexp_replace(p_name, '\\b(green|blue|red)\\b', '<B>\\1</B>', 'g') AS marked FROM part")

@@ -56,6 +56,14 @@ def slot(i: int) -> str:
     return f"__p{i}"
 
 
+def payload_slot(i: int) -> str:
+    return f"__l{i}"
+
+
+def _payloads(tokens: Column, payload: Callable[[Column], Column]) -> Column:
+    return F.transform(tokens, lambda t: payload(t).cast("double"))
+
+
 def norm_name(f: str) -> str:
     return f"__norm_{f}"
 
@@ -84,6 +92,8 @@ class ScanView:
         for i, x in enumerate(leaves):
             found = F.filter(f"__t_{x.field}", _test(x))
             kept.append((F.transform(found, lambda t: t["term"]) if x.terms else F.transform(found, lambda t: t["pos"]).cast(POSITIONS)).alias(slot(i)))
+            if (payload := self.schema.fields[x.field].payload) is not None:
+                kept.append(_payloads(found, payload).alias(payload_slot(i)))
         norms = [self._norm(f, F.size(f"__t_{f}"), sim).alias(norm_name(f)) for f in sorted(norm_fields)]
         return base.select(DOC, *kept, *norms, *[f"__c_{c}" for c in sorted(columns)])
 
@@ -377,7 +387,9 @@ class Compiler:
             idf = self.idf(q)
             return Hit(freq > 0, self.sim.tf(freq) * F.lit(norm * q.boost * idf * idf) * self.norm_of(q.field))
         if isinstance(q, A.Payload):
-            raise NotImplementedError("payload queries are scored by tesserae.operators.payloads")
+            inner = self.hit(q.query.boosted(q.query.boost * q.boost), norm)
+            own = self.payload_score(q)
+            return Hit(inner.match, inner.score * own if q.include_span_score else own)
         if isinstance(q, A.Span):
             spans = self._held(self.spans(q))
             idf = self.idf(q)
@@ -488,6 +500,22 @@ class Compiler:
             return self.spans(q.clauses[0])
         return P.near(q.slop, q.in_order)(*[self.spans(c) for c in q.clauses])
 
+    def payload_score(self, q: A.Payload) -> Column:
+        """avg, min or max of the payloads under a query's spans; 1 without any."""
+        spans = self._held(self.spans(q.query))
+        parts = []
+        for f, t in self._span_leaves(q.query):
+            i = self.leaves[Leaf(f, t)]
+            if self.view.schema.fields[f].payload is not None:
+                under = F.filter(F.arrays_zip(F.col(slot(i)).alias("p"), F.col(payload_slot(i)).alias("v")), lambda x: F.exists(spans, lambda s: (s["s"] <= x["p"]) & (x["p"] < s["e"])))
+                parts.append(F.transform(under, lambda x: x["v"]))
+        if not parts:
+            return F.lit(1.0)
+        values = F.concat(*parts)
+        total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+        found = {"avg": total / F.size(values), "min": F.array_min(values), "max": F.array_max(values)}[q.fn]
+        return F.when(F.size(values) > 0, found).otherwise(F.lit(1.0))
+
     def _held(self, c: Column) -> Column:
         """The expression as a column of its own, computed before what reads it (a Python step cannot stand in a lambda)."""
         name = f"__x{len(self.steps)}"

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+
 from tesserae.functions.analysis import KEYWORD, SIMPLE, Analyzer
 
 
@@ -13,7 +16,8 @@ class FieldSpec:
 
     ``norms`` off scores every length alike; ``freqs`` off keeps neither counts
     nor positions, so phrases cannot match; ``boost`` multiplies the norm;
-    ``repeated`` columns are arrays of values.
+    ``repeated`` columns are arrays of values; ``payload`` gives each token a number
+    that payload queries read.
     """
 
     column: str
@@ -22,6 +26,8 @@ class FieldSpec:
     freqs: bool = True
     boost: float = 1.0
     repeated: bool = False
+    #: A token's payload score as a function of the token (fields term and pos); None: no payloads.
+    payload: Callable[[Column], Column] | None = None
 
 
 def keyword_field(column: str) -> FieldSpec:
