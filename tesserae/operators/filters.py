@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.plans import ast as A
-from tesserae.plans.search import DOC, Compiler, View
+from tesserae.plans.search import DOC, Compiler, View, matching
 
 
 def span_positions(view: View, query: A.Span) -> DataFrame:
@@ -14,7 +14,7 @@ def span_positions(view: View, query: A.Span) -> DataFrame:
     c = Compiler(view, query)
     spans = c.spans(c.query)
     rows = c.frame()
-    return rows.select(F.col(DOC).alias(view.schema.id_col), spans.alias("spans")).where(F.size("spans") > 0)
+    return matching(rows, F.size(spans) > 0).select(F.col(DOC).alias(view.schema.id_col), spans.alias("spans"))
 
 
 def both(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -29,6 +29,7 @@ from tesserae.schema import Schema
 
 DOC = "__doc"
 POSITIONS = "array<int>"
+HERE = "__here"
 
 
 @dataclass(frozen=True)
@@ -95,7 +96,11 @@ class ScanView:
             if (payload := self.schema.fields[x.field].payload) is not None:
                 kept.append(_payloads(found, payload).alias(payload_slot(i)))
         norms = [self._norm(f, F.size(f"__t_{f}"), sim).alias(norm_name(f)) for f in sorted(norm_fields)]
-        return base.select(DOC, *kept, *norms, *[f"__c_{c}" for c in sorted(columns)])
+        # Catalyst would push a test of the leaves below their projection, and so analyze every text once more per
+        # leaf, ahead of any exchange; it pushes nothing below a projection with a nondeterministic column.  Without
+        # leaves nothing is analyzed, and a test of stored columns shall reach the scan.
+        here = [F.spark_partition_id().alias(HERE)] if leaves else []
+        return base.select(DOC, *kept, *norms, *[f"__c_{c}" for c in sorted(columns)], *here)
 
     def _norm(self, f: str, n: Column, sim: Similarity) -> Column:
         spec = self.schema.fields[f]
@@ -552,11 +557,14 @@ class Compiler:
         """(doc_id, score, extra columns) of all matching documents."""
         qn = self.sim.query_norm(self.squares(self.query))
         h = self.hit(self.query, qn)
-        rows = self.frame(extra)
-        out = rows.where(h.match).select(F.col(DOC).alias(self.view.schema.id_col), h.score.cast("double").alias("score"), *[F.col(f"__c_{c}").alias(c) for c in sorted(extra or ())])
+        out = matching(self.frame(extra), h.match).select(F.col(DOC).alias(self.view.schema.id_col), h.score.cast("double").alias("score"), *[F.col(f"__c_{c}").alias(c) for c in sorted(extra or ())])
         return out
 
 
+def matching(rows: DataFrame, match: Column) -> DataFrame:
+    return rows.where(match & (F.col(HERE) >= 0)) if HERE in rows.columns else rows.where(match)
+
+
 @dataclass(frozen=True)
 class ColumnFilter:
     """A predicate over stored columns; null is no match."""
@@ -679,4 +687,4 @@ class Searcher:
         h = c.hit(c.query, qn)
         parts = [F.struct(F.lit(x.field).alias("field"), F.lit(x.term).alias("term"), F.size(slot(i)).alias("freq"), F.lit(c.sim.idf(c.df[x], c.max_doc)).alias("idf"), F.col(norm_name(x.field)).alias("field_norm"), F.lit(qn).alias("query_norm")) for x, i in c.leaves.items() if x.pred is None and x.field in c.norm_fields]
         factors = F.filter(F.array(*parts), lambda p: p["freq"] > 0) if parts else F.array()
-        return c.frame().where(h.match).select(F.col(DOC).alias(self.view.schema.id_col), F.round(h.score, self.digits).alias("score"), factors.alias("factors"))
+        return matching(c.frame(), h.match).select(F.col(DOC).alias(self.view.schema.id_col), F.round(h.score, self.digits).alias("score"), factors.alias("factors"))

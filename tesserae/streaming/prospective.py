@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.similarity import Similarity
 from tesserae.plans import ast as A
-from tesserae.plans.search import DOC, Compiler, Leaf, ScanView
+from tesserae.plans.search import DOC, Compiler, Leaf, ScanView, matching
 from tesserae.schema import Schema
 
 
@@ -32,7 +32,7 @@ def match_stored(docs: DataFrame, schema: Schema, queries: dict[str, A.Query]) -
     for name, q in queries.items():
         c = Compiler(OneDocumentView(docs, schema), q)
         h = c.hit(c.query, c.sim.query_norm(c.squares(c.query)))
-        one = c.frame().where(h.match).select(F.lit(name).alias("query"), F.col(DOC).alias(schema.id_col), F.round(h.score, 6).alias("score"))
+        one = matching(c.frame(), h.match).select(F.lit(name).alias("query"), F.col(DOC).alias(schema.id_col), F.round(h.score, 6).alias("score"))
         out = one if out is None else out.unionByName(one)
     return out
 
