@@ -331,6 +331,36 @@ def snowball_analyzer(name: str, words: Iterable[str] = ()) -> Analyzer:
     return Analyzer(standard, (standard_filter, lower, stop(words), stem(name)))
 
 
+def german_analyzer(words: Iterable[str] = (), exclude: Iterable[str] = ()) -> Analyzer:
+    return Analyzer(standard, (standard_filter, lower, stop(words), stem("german", exclude)))
+
+
+def arabic_analyzer(words: Iterable[str] = ()) -> Analyzer:
+    return Analyzer(arabic_letter, (lower, stop(words), arabic_normalize, stem("arabic")))
+
+
+def persian_analyzer(words: Iterable[str] = ()) -> Analyzer:
+    return Analyzer(arabic_letter, (lower, arabic_normalize, persian_normalize, stop(words)))
+
+
+def greek_analyzer(words: Iterable[str] = ()) -> Analyzer:
+    return Analyzer(standard, (standard_filter, greek_lower, stop(words)))
+
+
+def czech_analyzer(words: Iterable[str] = ()) -> Analyzer:
+    return Analyzer(standard, (standard_filter, lower, stop(words)))
+
+
+def cjk_analyzer(words: Iterable[str] = ENGLISH_STOP_WORDS) -> Analyzer:
+    return Analyzer(cjk, (stop(words),))
+
+
+def chinese_analyzer(words: Iterable[str] = ENGLISH_STOP_WORDS) -> Analyzer:
+    """Drops stop words and single Latin letters."""
+    alone = lambda s: F.filter(s, lambda x: ~((F.length(x["term"]) == 1) & x["term"].rlike("[\\p{Lu}\\p{Ll}]")))
+    return Analyzer(chinese, (stop(words), alone))
+
+
 WHITESPACE, SIMPLE, KEYWORD = Analyzer(whitespace), Analyzer(lowercase_letter), Analyzer(keyword)
 
 

@@ -188,7 +188,55 @@ def swedish(w: str) -> str:
     return out[:-1] if _ends(out, ("löst", "fullt"), r1) else out
 
 
-NAMES: dict[str, Callable[[str], str]] = {"porter": porter, "arabic": arabic, "german": german, "swedish": swedish}
+# The endings of the published Norwegian and Danish algorithms.
+_NORWEGIAN = tuple("a e ede ande ende ane ene hetene en heten ar er heter as es edes endes enes hetenes ens hetens ers ets et het ast".split())
+_DANISH = tuple("hed ethed ered e erede ende erende ene erne ere en heden eren er heder erer heds es endes erendes enes ernes eres ens hedens erens ers ets erets et eret".split())
+
+
+def norwegian(w: str) -> str:
+    vowels = "aeiouyæåø"
+    r1 = max(_region(w, vowels), 3)
+    x = _ends(w, (*_NORWEGIAN, "s", "erte", "ert"), r1)
+    if x in ("erte", "ert"):
+        w = w[: -len(x)] + "er"
+    elif x == "s":
+        if w[-2:-1] in tuple("bcdfghjlmnoprtvyz") or w[-2:-1] == "k" and w[-3:-2] not in tuple(vowels):
+            w = w[:-1]
+    elif x:
+        w = w[: -len(x)]
+    if _ends(w, ("dt", "vt"), r1):
+        w = w[:-1]
+    if x := _ends(w, ("leg", "eleg", "ig", "eig", "lig", "elig", "els", "lov", "elov", "slov", "hetslov"), r1):
+        w = w[: -len(x)]
+    return w
+
+
+def danish(w: str) -> str:
+    vowels = "aeiouyæåø"
+    r1 = max(_region(w, vowels), 3)
+
+    def pair(w: str) -> str:
+        return w[:-1] if _ends(w, ("gd", "dt", "gt", "kt"), r1) else w
+
+    x = _ends(w, (*_DANISH, "s"), r1)
+    if x == "s":
+        if w[-2:-1] in tuple("abcdfghjklmnoprtvyzå"):
+            w = w[:-1]
+    elif x:
+        w = w[: -len(x)]
+    w = pair(w)
+    if w.endswith("igst"):
+        w = w[:-2]
+    if x := _ends(w, ("ig", "lig", "elig", "els"), r1):
+        w = pair(w[: -len(x)])
+    elif _ends(w, ("løst",), r1):
+        w = w[:-1]
+    if len(w) > r1 and w[-1] not in vowels and w[-1] == w[-2:-1]:
+        w = w[:-1]
+    return w
+
+
+NAMES: dict[str, Callable[[str], str]] = {"porter": porter, "arabic": arabic, "german": german, "swedish": swedish, "norwegian": norwegian, "danish": danish}
 
 
 def by_name(name: str) -> Callable[[str], str]:

@@ -136,3 +136,17 @@ def test_stemmers():
     assert [swedish(x) for x in ("jaktkarlarne", "jaktkarlens", "klockorna")] == ["jaktkarl", "jaktkarl", "klock"]
     with pytest.raises(ValueError):
         by_name("klingon")
+
+
+def test_language_analyzers(spark):
+    def terms(a, text):
+        return [x["term"] for x in spark.createDataFrame([(text,)], "t string").select(a(F.col("t")).alias("s")).first()["s"]]
+
+    assert terms(an.german_analyzer(("und",), ("katern",)), "Katzen und katern") == ["katz", "katern"]
+    assert terms(an.greek_analyzer(()), "Αθήνα ΌΧΙ") == ["αθηνα", "οχι"]
+    assert terms(an.chinese_analyzer(), "a 漢字 abc 12") == ["漢", "字", "abc", "12"]
+    assert terms(an.persian_analyzer(), "کتاب") == ["كتاب"]
+    from tesserae.functions.stemmers import danish, norwegian
+
+    assert [norwegian(x) for x in ("havnedistriktene", "opninger")] == ["havnedistrikt", "opning"]
+    assert [danish(x) for x in ("indtager", "undersøgelser")] == ["indtag", "undersøg"]
