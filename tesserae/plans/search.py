@@ -266,8 +266,6 @@ class Compiler:
         elif isinstance(q, A.MultiTerm):
             self._leaf(self._predicate(q))
         elif isinstance(q, A.Boolean):
-            if q.clauses and all(c.occur == A.MUST_NOT for c in q.clauses):
-                pass
             for c in q.clauses:
                 self._gather(c.query)
         elif isinstance(q, A.DisMax):
