@@ -54,6 +54,9 @@ class Files:
 
     def write(self, name: str, text: str) -> None:
         """Whole or not at all; an existing file is an error."""
+        # some filesystems overwrite on a rename, so the check comes first; one writer at a time is the rule here
+        if self.fs.exists(self.path_of(f"{self.root}/{name}")):
+            raise FileExistsError(f"{name} was written by another")
         temp = self.path_of(f"{self.root}/{name}.{uuid.uuid4().hex}.tmp")
         out = self.fs.create(temp)
         out.write(bytearray(text.encode()))
