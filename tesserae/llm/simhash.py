@@ -27,6 +27,8 @@ from tesserae.llm.shared import stored
 from tesserae.llm.textcore import gather_runs, text_blocks, words_of
 
 SIGN = np.uint64(1 << 63)
+#: Bytes of text fingerprinted at once; each byte of text takes some 30 of memory while it is.
+FINGERPRINT_BLOCK = 2 << 20
 #: Pairs formed at once within a bucket.
 PAIR_BLOCK = 2_000_000
 
@@ -68,7 +70,7 @@ def fingerprint_column(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1)
-            fp = [fingerprints(texts.slice(i, j - i), k) for i, j in text_blocks(texts)]
+            fp = [fingerprints(texts.slice(i, j - i), k) for i, j in text_blocks(texts, FINGERPRINT_BLOCK)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(fp).view(np.int64) if fp else [], pa.int64())], ["id", "fp"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, fp long")
