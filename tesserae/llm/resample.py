@@ -103,8 +103,10 @@ def kth_largest(keys: DataFrame, k: int) -> float:
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, noise: float = 1.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, log_weight, sample_key, kept) per row.
 
-    ``labels`` has (id, quality): texts of quality 1 are the target.  k is the
-    sample's size; None takes as many documents as the labels call good, in
+    ``labels`` has (id, quality) and may have toxic: texts of quality 1 that are
+    not toxic are the target; a null toxic, or no such column, is not toxic, and
+    an id that any of its labels calls toxic is.  k is the sample's size; None
+    takes as many documents as the labels call good in this sense, in
     proportion.  The Gumbel noise is a function of seed, id and text, so the
     sample repeats exactly; rows alike in both are kept or left together, and
     ties at the k-th key are all kept.  Null and empty texts have weight zero,
@@ -115,9 +117,12 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, noise: fl
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    votes = labels.select(F.col(id_col).alias("id"), F.col("quality").alias("q")).where("id is not null and q is not null")
-    good, voted = votes.agg(F.sum(F.expr("cast(q = 1 as long)")), F.count("*")).first()
-    targets = votes.where("q = 1").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(TARGET_ROWS)
+    toxic = F.coalesce(F.col("toxic") == 1, F.lit(False)) if "toxic" in labels.columns else F.lit(False)
+    marked = labels.select(F.col(id_col).alias("id"), F.col("quality").alias("q"), toxic.alias("toxic")).where("id is not null")
+    bad = marked.where("toxic").select("id").distinct().withColumn("bad", F.lit(True))
+    votes = marked.where("q is not null").join(bad, "id", "left").select("id", (F.col("q").eqNullSafe(1) & F.col("bad").isNull()).alias("good"))
+    good, voted = votes.agg(F.sum(F.col("good").cast("long")), F.count("*")).first()
+    targets = votes.where("good").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(TARGET_ROWS)
     target, raw, n_target, n_docs = ngram_counts(rows, targets)
     ratio = log_ratio(target, raw) if target.sum() else np.zeros(BUCKETS)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)

@@ -88,6 +88,19 @@ def test_resampling_separates_held_out_labels(spark):
     assert resample(docs, shown, k=100).where("kept").count() == 100
 
 
+def test_toxic_documents_are_no_target(spark):
+    docs = spark.createDataFrame([(i, ("kind good words here " if i % 2 else "vile bad slurs there ") * 20) for i in range(400)], "doc_id long, text string")
+    rows = [(i, 1, 1 - i % 2) for i in range(100)] + [(100, 0, 0), (101, 1, None), (102, None, 1), (103, 1, 0), (103, 1, 1)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    got = resample(docs, labels)
+    share = dict(map(tuple, got.groupBy((F.col("doc_id") % 2).alias("m")).agg(F.avg(F.col("kept").cast("int"))).collect()))
+    assert share[1] > 0.9 and share[0] < 0.1
+    # k: 50 good odd ids and 101, of the 104 labels with a quality; 103 is toxic by one of its two
+    assert got.where("kept").count() == -(-400 * 51 // 104)
+    mixed = resample(docs, labels.drop("toxic"))
+    assert mixed.where("kept").count() == -(-400 * 103 // 104)
+
+
 def test_kth_largest(spark):
     values = np.random.default_rng(1).normal(size=30_000).round(3)
     keys = spark.createDataFrame([(float(v),) for v in values], "key double")
