@@ -1,11 +1,13 @@
 """Documents that hold benchmark items.
 
-Every item has a SimHash fingerprint of its word shingles.  In a document, the
-windows of an item's own size that share a shingle with it are fingerprinted
-too (others have similarity zero), and an index by blocks of bits gives every
-item whose fingerprint lies within the radius: with m blocks and radius r, two
-fingerprints within r agree in some block up to floor(r / m) bits, and the
-index holds all such patterns of each item's blocks.  Candidates are verified
+Candidates come from an inverted list of the items' shingles: a document's
+windows of an item's own size that hold enough of its shingles for the
+threshold, in whatever order and place.  Every item has a SimHash fingerprint of
+its word shingles; candidate windows are fingerprinted too, and an index by
+blocks of bits confirms those whose fingerprint lies within the radius of the
+item's: with m blocks and radius r, two fingerprints within r agree in some
+block up to floor(r / m) bits, and the index holds all such patterns of each
+item's blocks.  What is confirmed is verified
 by their exact weighted-shingle similarity, the sum of the smaller weights over
 the sum of the larger, a shingle's weight being its number of occurrences.
 """
@@ -114,42 +116,52 @@ class Benchmark:
             slot = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
             hit = np.flatnonzero(self.known[slot] == shingles)
             n_of = self.first[slot[hit] + 1] - self.first[slot[hit]]
-            into = gather_runs(self.first[slot[hit]], n_of)
+            item = self.item[gather_runs(self.first[slot[hit]], n_of)]
             hit = np.repeat(hit, n_of)
             row = np.searchsorted(at, hit, "right") - 1
-            item = self.item[into]
-            start = hit - at[row] - self.place[into]  # where the item's window would begin
-            for r, n, lo, hi in self._spans(row, item, start):
+            for r, n, starts in self._starts(row, item, hit - at[row], w.counts):
                 total, m = int(w.counts[r]), int(self.size[n])
-                if total < self.k:
-                    continue
-                for s in range(lo, hi + 1):
+                for s in starts:
                     a, b = max(0, s), min(s + m, total)  # at a text's edge the window is what there is
-                    if b - a < self.k:
-                        continue
                     own = shingles[at[r] + a : at[r] + b - self.k + 1]
                     if n in self.within(int(fingerprint(own))):
                         keep(r, n, a, similarity(own, self.shingles[n]))
         for (row, n), (s, start) in sorted(best.items()):
             yield row, n, start, s
 
-    def _spans(self, row: np.ndarray, item: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """Ranges of window starts per row and item: all between starts that lie near each other.
+    def _starts(self, row: np.ndarray, item: np.ndarray, place: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
+        """Per row and item the starts of all windows that hold enough of the item's shingles, in whatever order.
 
-        A range whose shared shingles are too few for the threshold, whatever its windows, is left out.
+        A window of a shingles, c of them in an item of l, has at most
+        similarity c / (a + l - c); only windows below the threshold by that
+        bound are left out.
         """
-        order = np.lexsort((start, item, row))
-        row, item, start = row[order], item[order], start[order]
+        order = np.lexsort((place, item, row))
+        row, item, place = row[order], item[order], place[order]
         if not len(row):
             return
-        slack = self.size[item] // 4
-        new = np.append(True, (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(start) > slack[1:]))
-        lo = np.flatnonzero(new)
-        hi = np.append(lo[1:], len(row))
-        for a, b in zip(lo.tolist(), hi.tolist()):
-            n = int(item[a])
-            if b - a >= self.threshold * len(self.shingles[n]):
-                yield int(row[a]), n, int(start[a]), int(start[b - 1])
+        new = np.append(True, (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(place) != 0))  # a place counts once
+        row, item, place = row[new], item[new], place[new]
+        length = self.size[item] - self.k + 1
+        need = np.maximum(np.ceil(self.threshold * length - 1e-9).astype(np.int64), 1)
+        # places i .. i + need - 1 of one row and item that fit in a window; every window with enough holds such a run
+        last = np.arange(len(row)) + need - 1
+        ok = last < len(row)
+        last = np.minimum(last, len(row) - 1)
+        ok &= (row[last] == row) & (item[last] == item) & (place[last] - place < length)
+        runs = np.flatnonzero(ok)
+        if not len(runs):
+            return
+        cut = np.flatnonzero((np.diff(row[runs]) != 0) | (np.diff(item[runs]) != 0)) + 1
+        for lo, hi in zip(np.append(0, cut).tolist(), np.append(cut, len(runs)).tolist()):
+            own = runs[lo:hi]
+            r, n, l = int(row[own[0]]), int(item[own[0]]), int(length[own[0]])
+            a, b = place[last[own]] - l + 1, place[own] + 1
+            s = np.unique(gather_runs(a, b - a))
+            among = place[own[0] : last[own[-1]] + 1]
+            c = np.searchsorted(among, s + l) - np.searchsorted(among, s)
+            size = np.minimum(s + l, int(counts[r]) - self.k + 1) - np.maximum(s, 0)
+            yield r, n, s[c >= self.threshold * (size + l - c) - 1e-9].tolist()
 
 
 _compiled: dict[tuple, Benchmark] = {}

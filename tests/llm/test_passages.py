@@ -123,6 +123,20 @@ def test_altered_leaks_and_short_items(spark):
     assert {(0, 1), (1, 1), (2, 1)} <= got and (3, 1) not in got
 
 
+def test_reordered_items_are_found(spark):
+    item = invented(100, 50)
+    thirds = item[66:] + item[:33] + item[33:66]
+    moved = item[20:] + item[:20]
+    shuffled = [w for p in range(90, -1, -10) for w in item[p : p + 10]]
+    rows = [invented(80, 60 + n) + x + invented(80, 70 + n) for n, x in enumerate((item[50:] + item[:50], moved, thirds, shuffled, item[50:] + item[:40]))]
+    rows += [item[50:] + item[:45], item[50:] + item[:50] + item]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    want = best_windows(list(enumerate(map(" ".join, rows))), [(1, " ".join(item))])
+    assert {(0, 1), (1, 1), (2, 1), (6, 1)} <= set(want) and (3, 1) not in want
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in find_leaks(docs, bench).collect()} == want
+
+
 def test_block_index_finds_all_within_the_radius():
     b = Benchmark(list(range(50)), [" ".join(invented(30, i)) for i in range(50)], 5, 0.8, 19)
     r = random.Random(9)
