@@ -289,20 +289,20 @@ def stem(name: str, exclude: Iterable[str] = (), override: dict[str, str] | None
 
 @dataclass(frozen=True)
 class Analyzer:
-    """A tokenizer, filters in order, and the gap between values of a repeated field."""
+    """A tokenizer, filters in order, and the gap between values of a repeated field; streams are whole unless ``max_tokens`` cuts them."""
 
     tokenizer: Callable[[Column], Stream]
     filters: tuple[Filter, ...] = ()
     char_filter: Callable[[Column], Column] | None = None
     position_gap: int = 0
-    max_tokens: int = 10_000
+    max_tokens: int | None = None
 
     def __call__(self, text: Column) -> Stream:
         text = F.coalesce(text.cast("string"), F.lit("")) if self.tokenizer is not keyword else text
         s = self.tokenizer(self.char_filter(text) if self.char_filter else text)
         for f in self.filters:
             s = f(s)
-        return F.slice(s, 1, self.max_tokens)
+        return self._cut(s)
 
     def of_values(self, values: Column) -> Stream:
         """The stream of a repeated field: each value continues behind the last, after the gap."""
@@ -316,7 +316,10 @@ class Analyzer:
                 F.when(F.size(p) > 0, acc["next"] + F.element_at(p, -1)["pos"] + 1 + self.position_gap).otherwise(acc["next"]).cast("int").alias("next"),
             ),
         )
-        return F.slice(joined["all"], 1, self.max_tokens)
+        return self._cut(joined["all"])
+
+    def _cut(self, s: Stream) -> Stream:
+        return s if self.max_tokens is None else F.slice(s, 1, self.max_tokens)
 
 
 def stop_analyzer(words: Iterable[str] = ENGLISH_STOP_WORDS) -> Analyzer:

@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 
 from tesserae.plans import ast as A
 
-#: Characters of a text that are analyzed.
-ANALYZED = 50 * 1024
-
-
 def query_terms(q: A.Query, prohibited: bool = False) -> dict[str, float]:
     """Weights of a query's terms; those of prohibited clauses count only if asked for."""
     out: dict[str, float] = {}
@@ -52,15 +48,15 @@ def query_terms(q: A.Query, prohibited: bool = False) -> dict[str, float]:
     return out
 
 
-def fragments(text: str, weights: dict[str, float], n: int, size: int, mark: Callable[[str], str], encode: Callable[[str], str]) -> list[tuple[str, float]]:
+def fragments(text: str, weights: dict[str, float], n: int, size: int, mark: Callable[[str], str], encode: Callable[[str], str], analyzed: int | None = None) -> list[tuple[str, float]]:
     """(marked fragment, score) of the best n fragments of about ``size`` characters; neighbours among them merge.
 
     A fragment's score is the sum of the weights of its distinct query terms;
-    fragments without any are left out.
+    fragments without any are left out.  ``analyzed`` bounds the characters read.
     """
     import regex
 
-    text = (text or "")[:ANALYZED]
+    text = (text or "")[:analyzed]
     parts: list[dict] = [{"out": "", "terms": set(), "no": 0}]
     at = begin = 0
     for m in regex.finditer(r"\p{L}+", text):

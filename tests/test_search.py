@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import analysis as an
 from tesserae.functions.similarity import Similarity, decoded_norm
+from tesserae.operators.highlight import fragments
 from tesserae.operators.positions import near_ordered, near_unordered, sloppy_frequency
 from tesserae.plans import ast as A
 from tesserae.plans.search import ScanView, Searcher
@@ -113,6 +114,24 @@ def test_analyzers(spark):
     assert [x for x, _ in terms(an.Analyzer(an.lowercase_letter, (an.stem("porter"),)), "caresses ponies relational hopping happy sky")] == ["caress", "poni", "relat", "hop", "happi", "sky"]
 
 
+def test_long_documents_are_searched_whole(spark):
+    docs = spark.createDataFrame([(1, "w " * 12_000 + "far end"), (2, "w")], "doc_id long, f string")
+    view = ScanView(docs, SCHEMA)
+    assert [r["doc_id"] for r in Searcher(view).hits(A.Term("f", "end")).collect()] == [1]
+    assert {r["term"]: r["cf"] for r in view.dictionary("f").collect()} == {"w": 12_001, "far": 1, "end": 1}
+    capped = ScanView(docs, Schema("doc_id", {"f": FieldSpec("f", an.Analyzer(an.whitespace, max_tokens=10_000))}))
+    assert {r["term"]: r["cf"] for r in capped.dictionary("f").collect()} == {"w": 10_001}
+    values = ScanView(spark.createDataFrame([(1, ["w " * 12_000, "end"])], "doc_id long, f array<string>"), Schema("doc_id", {"f": FieldSpec("f", an.WHITESPACE, repeated=True)}))
+    assert [r["doc_id"] for r in Searcher(values).hits(A.Term("f", "end")).collect()] == [1]
+
+
+def test_long_texts_are_highlighted_whole():
+    text = "filler " * 10_000 + "needle"
+    marked = fragments(text, {"needle": 1.0}, 1, 100, lambda t: f"<{t}>", str)
+    assert len(marked) == 1 and "<needle>" in marked[0][0]
+    assert fragments(text, {"needle": 1.0}, 1, 100, lambda t: f"<{t}>", str, analyzed=50 * 1024) == []
+
+
 def test_repeated_field_positions(spark):
     view = ScanView(spark.createDataFrame([(1, ["a b", "c"])], "doc_id long, f array<string>"), Schema("doc_id", {"f": FieldSpec("f", an.Analyzer(an.whitespace, position_gap=10), repeated=True)}))
     assert {r["term"]: r["positions"] for r in view.postings("f").collect()} == {"a": [0], "b": [1], "c": [12]}
