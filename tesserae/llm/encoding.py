@@ -1,10 +1,12 @@
 """Token ids of whole texts by the public byte-level BPE, a batch at a time.
 
-The library encodes each *distinct* chunk once; chunks are cut before a
-single space, where the tokenizer's own pre-tokenizer always cuts too (a lone
-space joins what follows it, and no token spans one).  Runs of two or more
-spaces stay inside a chunk, and a text that holds an added token's string is
-encoded whole, so ids equal ``Tokenizer.encode`` on the whole text.
+The library encodes each *distinct* chunk once.  Chunks are cut only where the
+tokenizer's own pre-tokenizer always cuts too: between ASCII letters, digits and
+other marks (but not behind an apostrophe, which may begin a contraction), before
+white space, and behind a lone line end or tab.  Other white space stays with
+what follows it, bytes beyond ASCII are cut from nothing but white space before
+a text's next word, and a text that holds an added token's string is encoded
+whole, so ids equal ``Tokenizer.encode`` on the whole text.
 """
 
 from __future__ import annotations
@@ -17,8 +19,26 @@ import pyarrow.compute as pc
 
 from tesserae.llm.textcore import gather_runs, utf8_buffer
 
-#: Distinct chunks remembered by a Python worker; then it starts anew.
-CACHE_CHUNKS = 1_000_000
+#: Bytes of distinct chunks and ids a Python worker remembers, with the dictionary's own; then it forgets all but the current batch's.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 160
+
+# What a byte is to the pre-tokenizer: a space, other white space, a letter, a digit, an apostrophe, a mark, or part of a longer character.
+SPACE, BREAK, LETTER, DIGIT, APOSTROPHE, MARK, LONG = range(7)
+KIND = np.full(256, MARK, np.uint8)
+KIND[32], KIND[9:14], KIND[39], KIND[48:58], KIND[65:91], KIND[97:123] = SPACE, BREAK, APOSTROPHE, DIGIT, LETTER, LETTER
+KIND[28:32] = KIND[128:] = LONG
+# CUTS[a, b]: whether a chunk may end between bytes of kinds a and b, whatever stands around them
+CUTS = np.zeros((7, 7), bool)
+CUTS[[[LETTER], [DIGIT], [APOSTROPHE], [MARK]], [SPACE, BREAK]] = True
+CUTS[LETTER, [DIGIT, APOSTROPHE, MARK]] = CUTS[DIGIT, [LETTER, APOSTROPHE, MARK]] = CUTS[MARK, [LETTER, DIGIT]] = True
+CUTS[APOSTROPHE, DIGIT] = True
+PAIR_CUTS = CUTS.ravel()
+# bytes that may begin and end a white character beyond ASCII (U+0085 A0 1680 180E 2000-200A 2028 2029 202F 205F 3000)
+BEGINS_WHITE, ENDS_WHITE = np.zeros(256, bool), np.zeros(256, bool)
+BEGINS_WHITE[[0xC2, 0xE1, 0xE2, 0xE3, *range(28, 32)]] = True
+ENDS_WHITE[[*range(0x80, 0x8B), 0x8E, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF, *range(28, 32)]] = True
+#: A chunk that is one piece: letters, digits or marks, with a space before them or none.
+ONE_PIECE = r"^ ?([A-Za-zÀ-ÖØ-öø-ſ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)$"
 
 # Chunks of these characters alone are cut by PIECE; the library cuts all others.
 PLAIN = re.compile(r"[\t\n\x0b\x0c\r -~À-ÖØ-öø-ſ]*")
@@ -59,15 +79,15 @@ class BatchEncoder:
         letters = byte_letters()
         self.table = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(0x180)} | {ord(APART): "\n"}
         if self.by_chunk:
-            from tokenizers import pre_tokenizers
-
             self.pieces = Tokenizer(self.tokenizer.model)
-            self.pieces.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+            vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+            self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+            self.width[list(vocab.values())] = [len(w) for w in vocab]
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.chunks: dict[bytes, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.at = np.zeros(1 << 16, np.int64)
-        self.n_chunks = self.n_ids = 0
+        self.n_chunks = self.n_ids = self.held = 0
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -82,28 +102,49 @@ class BatchEncoder:
         self.at[self.n_chunks + 1 : n + 1] = self.n_ids + np.cumsum(lengths)
         self.chunks.update(zip(chunks, range(self.n_chunks, n)))
         self.n_chunks, self.n_ids = n, m
+        self.held += sum(map(len, chunks)) + ENTRY_BYTES * len(chunks) + 4 * len(ids)
+
+    def _forget(self, but: list[bytes]) -> None:
+        """Drops all chunks but these."""
+        number = np.fromiter(map(self.chunks.__getitem__, but), np.int64, len(but))
+        lengths = self.at[number + 1] - self.at[number]
+        ids = self.ids[gather_runs(self.at[number], lengths)]
+        self.chunks.clear()
+        self.n_chunks = self.n_ids = self.held = 0
+        self._keep(but, ids, lengths)
+
+    def _by_piece(self, pieces: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces in the byte-level alphabet, end to end, and how many each has; sizes: their bytes."""
+        found = [x.ids for x in self.pieces.encode_batch_fast([pieces[i : i + 2000] for i in range(0, len(pieces), 2000)], is_pretokenized=True, add_special_tokens=False)]
+        ids = np.concatenate([np.asarray(x, np.uint32) for x in found])
+        # the bytes of a piece's tokens add up to its own
+        ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(sizes)) + 1
+        return ids, np.diff(ends, prepend=0)
+
+    def _spelled(self, pieces: list[str]) -> list[str]:
+        """Pieces of PLAIN characters in the byte-level alphabet."""
+        return [x for i in range(0, len(pieces), 2000) for x in APART.join(pieces[i : i + 2000]).translate(self.table).split("\n")]
 
     def _learn(self, chunks: list[bytes]) -> None:
-        plain, other, cut = [], [], []
-        for chunk in chunks:
-            text = chunk.decode("utf-8")
-            if PLAIN.fullmatch(text):
-                plain.append(chunk)
-                cut.append(PIECE.findall(text))
-            else:
-                other.append(chunk)
+        texts = pa.array(chunks, pa.large_binary()).cast(pa.large_string())
+        one = pc.match_substring_regex(texts, ONE_PIECE)
+        single, rest = texts.filter(one), texts.filter(pc.invert(one)).to_pylist()
+        ascii_only = pc.string_is_ascii(single)
+        for part, spell in ((single.filter(ascii_only), lambda x: pc.replace_substring(x, " ", "Ġ").to_pylist()), (single.filter(pc.invert(ascii_only)), lambda x: self._spelled(x.to_pylist()))):
+            if len(part):
+                self._keep(part.cast(pa.large_binary()).to_pylist(), *self._by_piece(spell(part), pc.binary_length(part).to_numpy()))
+        plain, other = [], []
+        for x in rest:
+            (plain if PLAIN.fullmatch(x) else other).append(x)
         if plain:
+            cut = [PIECE.findall(x) for x in plain]
             flat = [p for pieces in cut for p in pieces]
-            blocks = [flat[i : i + 2000] for i in range(0, len(flat), 2000)]
-            found = self.pieces.encode_batch([APART.join(b).translate(self.table) for b in blocks], add_special_tokens=False)
-            ids = np.concatenate([np.asarray(x.ids, np.uint32) for x in found])
-            tokens = np.concatenate([np.bincount(np.asarray(x.word_ids, np.int64), minlength=len(b)) for x, b in zip(found, blocks)])
-            ends = np.cumsum([len(c) for c in cut])
+            ids, tokens = self._by_piece(self._spelled(flat), np.asarray([len(p.encode()) for p in flat]))
             sums = np.append(0, np.cumsum(tokens))
-            self._keep(plain, ids, np.diff(sums[np.append(0, ends)]))
+            self._keep([x.encode() for x in plain], ids, np.diff(sums[np.append(0, np.cumsum([len(c) for c in cut]))]))
         if other:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in other], add_special_tokens=False)]
-            self._keep(other, np.asarray([i for x in found for i in x], np.uint32), np.asarray([len(x) for x in found]))
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]
+            self._keep([x.encode() for x in other], np.asarray([i for x in found for i in x], np.uint32), np.asarray([len(x) for x in found]))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """uint32 ids of all texts, end to end, and n + 1 offsets. Nulls are empty."""
@@ -119,11 +160,21 @@ class BatchEncoder:
         flat, offsets = utf8_buffer(texts)
         if apart.any():
             return self._mixed(texts, apart)
-        # a chunk begins at each text's start, and at each space with no space on either side
-        space = flat == 32
-        cut = space.copy()
-        cut[1:] &= ~space[:-1]
-        cut[:-1] &= ~space[1:]
+        # a chunk begins at each text's start, and where two kinds of byte part
+        kind = KIND[flat]
+        cut = np.zeros(len(flat), bool)
+        if len(flat):
+            cut[1:] = PAIR_CUTS[kind[:-1] * np.uint8(7) + kind[1:]]
+            # a lone space after a longer character, and what follows a lone line end
+            white = kind <= BREAK
+            lone = white.copy()
+            lone[1:] &= ~white[:-1]
+            lone[:-1] &= ~white[1:]
+            after, before = lone.copy(), lone.copy()  # a white character beyond ASCII may stand on that side
+            after[:-1] &= BEGINS_WHITE[flat[1:]]
+            before[1:] &= ENDS_WHITE[flat[:-1]]
+            cut |= lone & (kind == SPACE) & ~(before & after)
+            cut[1:] |= (lone & (kind == BREAK) & ~before & ~after)[:-1]
         begin = offsets[:-1][np.diff(offsets) > 0]
         cut[begin] = True
         starts = np.flatnonzero(cut)
@@ -131,9 +182,8 @@ class BatchEncoder:
         bounds = np.append(starts, len(flat)).astype(np.int64)
         chunks = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(flat))]).dictionary_encode()
         distinct = chunks.dictionary.to_pylist()
-        if self.n_chunks + len(distinct) > CACHE_CHUNKS and self.n_chunks > CACHE_CHUNKS // 2:
-            self.chunks.clear()
-            self.n_chunks = self.n_ids = 0
+        if self.held > CACHE_BYTES:
+            self._forget([c for c in distinct if c in self.chunks])
         new = [c for c in distinct if c not in self.chunks]
         if new:
             self._learn(new)
