@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,12 @@ from tesserae.llm.token_files import in_id_order, with_end
 
 #: Padded tokens that one cut is worth: at a sentence's end, elsewhere in a document; and a window's own cost, which breaks ties.
 SENTENCE_CUT, HARD_CUT, WINDOW = 2.0, 16.0, 0.01
-#: Where no document or sentence ends for longer than this, cuts are allowed every HARD_STEP tokens.
+#: Where no document or sentence ends for longer than this, cuts are allowed every HARD_STEP tokens; a smaller window lowers both.
 HARD_GAP, HARD_STEP = 128, 32
-#: Tokens planned together; a block ends with a document, so its last window may be short.
-BLOCK_TOKENS = 2_000_000
+#: Tokens planned together, and the windows at their end that are planned again with what follows.
+BLOCK_TOKENS, AGAIN = 1_000_000, 8
+#: Bytes of text encoded at once.
+BLOCK_BYTES = 8 << 20
 
 
 def sentence_ends(tokenizer) -> np.ndarray:
@@ -46,16 +49,16 @@ def sentence_ends(tokenizer) -> np.ndarray:
 _sentence_ends: dict[str, np.ndarray] = {}
 
 
-def cuts(n: int, doc_ends: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions at which windows may end, ascending from 0 to n, and their penalties."""
+def cuts(n: int, doc_ends: np.ndarray, sentence: np.ndarray, size: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Positions at which windows may end, ascending from 0 to n and at most ``size`` apart, and their penalties."""
     penalty = np.full(n + 1, np.inf, np.float32)
     penalty[sentence] = SENTENCE_CUT
     penalty[0] = penalty[doc_ends] = 0
     soft = np.flatnonzero(penalty < np.inf)
     gap = np.diff(soft)
-    wide = gap > HARD_GAP
-    steps = (gap[wide] - 1) // HARD_STEP
-    penalty[np.repeat(soft[:-1][wide], steps) + HARD_STEP * (1 + gather_runs(np.zeros(len(steps), np.int64), steps))] = HARD_CUT
+    wide, step = gap > min(HARD_GAP, size), min(HARD_STEP, size)
+    steps = (gap[wide] - 1) // step
+    penalty[np.repeat(soft[:-1][wide], steps) + step * (1 + gather_runs(np.zeros(len(steps), np.int64), steps))] = HARD_CUT
     at = np.flatnonzero(penalty < np.inf)
     return at, penalty[at].astype(np.float64)
 
@@ -104,34 +107,64 @@ def plan(at: np.ndarray, penalty: np.ndarray, size: int) -> np.ndarray:
     return np.asarray(out[::-1])
 
 
-def pack_block(ids: np.ndarray, at: np.ndarray, ends: np.ndarray, size: int) -> dict[str, np.ndarray]:
-    """Pieces of one block of documents; at: n_docs + 1 offsets into ids; ends: sentence_ends()."""
-    n = len(ids)
-    where, penalty = cuts(n, at[1:], np.flatnonzero(ends[np.minimum(ids, len(ends) - 1)]) + 1)
+@dataclass
+class Stream:
+    """Tokens that wait to be packed: whole documents, but for ``lead`` ids of the first that are packed already."""
+
+    ids: np.ndarray
+    at: np.ndarray  # n_docs + 1 offsets into ids
+    docs: pa.Array
+    lead: int = 0
+
+
+def pack_stream(s: Stream, ends: np.ndarray, size: int, last: bool) -> tuple[dict[str, np.ndarray], Stream]:
+    """Pieces of the stream's windows, and the stream that is left: nothing if ``last``, else the last windows, to be planned again with more.
+
+    ends: sentence_ends().
+    """
+    ids, at, n = s.ids, s.at, len(s.ids)
+    where, penalty = cuts(n, at[1:], np.flatnonzero(ends[np.minimum(ids, len(ends) - 1)]) + 1, size)
     windows = where[plan(where, penalty, size)]
-    marks = np.zeros(n + 1, bool)
-    marks[windows] = marks[at] = True
+    if not last:
+        windows = windows[: max(1, np.searchsorted(windows, n - AGAIN * size, "right"))]
+    done = int(windows[-1])
+    marks = np.zeros(done + 1, bool)
+    marks[windows] = marks[at[at <= done]] = True
     bounds = np.flatnonzero(marks)
     a, b = bounds[:-1], bounds[1:]
     doc = np.searchsorted(at, a, "right") - 1
     seq = np.searchsorted(windows, a, "right") - 1
-    data = memoryview(np.ascontiguousarray(ids.astype("<u4")).view(np.uint8))
+    data = memoryview(np.ascontiguousarray(ids.astype("<u4", copy=False)).view(np.uint8))
     crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(a.tolist(), b.tolist())]
-    return {"doc": doc, "start": a - at[doc], "length": b - a, "crc": np.asarray(crc, np.int64), "tokens": np.diff(at)[doc], "seq": seq, "offset": a - windows[seq]}
+    tokens, before = np.diff(at), np.zeros(len(at) - 1, np.int64)
+    if len(tokens):
+        before[0] = s.lead
+    pieces = {"doc": doc, "start": a - at[doc] + before[doc], "length": b - a, "crc": np.asarray(crc, np.int64), "tokens": (tokens + before)[doc], "seq": seq, "offset": a - windows[seq], "windows": np.asarray([len(windows) - 1])}
+    first = int(np.searchsorted(at, done, "right")) - 1  # the document that holds what comes next
+    if first >= len(s.docs):
+        return pieces, Stream(ids[:0], np.zeros(1, np.int64), s.docs.slice(0, 0))
+    return pieces, Stream(ids[done:], np.append(0, at[first + 1 :] - done), s.docs.slice(first), int(done - at[first] + before[first]))
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of a document in a sequence of at most ``size`` tokens.
 
     A document is its token ids and then ``end_id``.  Sequences hold whole
-    runs of the stream of documents in id order, within ranges of ids; their
-    numbers grow with the ids.  Null texts are empty documents of the end id
-    alone; null ids come first; equal ids are ordered by their texts' hash and
-    repeated rows are packed each; an empty table gives no rows; other columns
-    are ignored.
+    runs of the stream of documents in id order, within ranges of ids, one a
+    task; their numbers grow with the ids, and the last of each range may be
+    short, so padding grows by at most one window a task.  Within a range tokens
+    are planned a million at a time, and the last AGAIN windows of each block
+    again with the next.  Windows end at a document's end (free), a sentence's
+    end (SENTENCE_CUT), or, where neither comes for HARD_GAP tokens, at every
+    HARD_STEP-th (HARD_CUT); a ``size`` below these lowers both to itself.
+
+    Ids may be of any type that sorts, and keep it.  Null texts are empty
+    documents of the end id alone; null ids come first; equal ids are ordered by
+    their texts' hash and repeated rows are packed each; an empty table gives no
+    rows; other columns are ignored.
     """
     if size < 1:
         raise ValueError("size must be positive")
@@ -144,30 +177,25 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_i
             _sentence_ends[tokenizer_path] = sentence_ends(enc.tokenizer)
         ends = _sentence_ends[tokenizer_path]
         sequence = TaskContext.get().partitionId() << 32
-        held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
-        n = 0
-
-        def out() -> pa.RecordBatch:
-            nonlocal sequence, held, n
-            ids = np.concatenate([x[0] for x in held])
-            sizes = np.concatenate([np.diff(x[1]) for x in held])
-            own = pa.concat_arrays([x[2] for x in held])
-            p = pack_block(ids, np.append(0, np.cumsum(sizes)), ends, size)
-            columns = [own.take(pa.array(p["doc"])), *(pa.array(p[k], pa.int64()) for k in ("start", "length", "crc", "tokens")), pa.array(p["seq"] + sequence, pa.int64()), pa.array(p["offset"], pa.int64())]
-            sequence += int(p["seq"][-1]) + 1
-            held, n = [], 0
+        rest: Stream | None = None
+
+        def out(last: bool) -> pa.RecordBatch:
+            nonlocal sequence, rest
+            held, (p, rest) = rest.docs, pack_stream(rest, ends, size, last)
+            columns = [held.take(pa.array(p["doc"])), *(pa.array(p[k], pa.int64()) for k in ("start", "length", "crc", "tokens")), pa.array(p["seq"] + sequence, pa.int64()), pa.array(p["offset"], pa.int64())]
+            sequence += int(p["windows"][0])
             return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
 
         for b in batches:
             texts = b.column(1)
-            for i, j in text_blocks(texts):
+            for i, j in text_blocks(texts, BLOCK_BYTES):
                 ids, at = with_end(*enc.encode(texts.slice(i, j - i)), end_id)
-                held.append((ids, at, b.column(0).slice(i, j - i)))
-                n += len(ids)
-                if n >= BLOCK_TOKENS:
-                    yield out()
-        if held:
-            yield out()
-
-    packed = in_id_order(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+                own = b.column(0).slice(i, j - i)
+                rest = Stream(ids, at, own) if rest is None else Stream(np.concatenate([rest.ids, ids]), np.append(rest.at, at[1:] + rest.at[-1]), pa.concat_arrays([rest.docs, own]), rest.lead)
+                if len(rest.ids) >= max(BLOCK_TOKENS, 4 * AGAIN * size):
+                    yield out(False)
+        if rest is not None and len(rest.ids):
+            yield out(True)
+
+    packed = in_id_order(docs, id_col, text_col).mapInArrow(run, SCHEMA.format(docs.schema[id_col].dataType.simpleString()))
     return packed if id_col == "doc_id" else packed.withColumnRenamed("doc_id", id_col)

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tesserae.llm.encoding import encoder
 from tesserae.llm.shared import parallelism
@@ -41,8 +42,8 @@ def filesystem(uri: str):
 
 
 def in_id_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id long, t string) in ranges of ids, each range sorted; equal ids are ordered by a hash of the text."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    """(id, t string) in ranges of ids, each range sorted; equal ids are ordered by a hash of the text."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     rows = rows.withColumn("h", F.xxhash64("t"))
     return rows.repartitionByRange(parallelism(docs.sparkSession), "id", "h").sortWithinPartitions("id", "h", "t").drop("h")
 
@@ -112,12 +113,15 @@ def mapped(uri: str, dtype: str) -> np.ndarray:
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> TokenFiles:
     """Writes the ids of whole texts, each with ``end_id`` behind it, in ascending id order.
 
-    ``path`` is a new folder that all executors share.  Null texts are empty:
+    ``path`` is a new folder that all executors share.  Ids are integers, since
+    the format stores 64 bits each; other types are refused.  Null texts are empty:
     the end id alone.  Null ids come first.  Equal ids are ordered by their
     texts' hash and repeated rows are all written.  An empty table gives a
     manifest without documents.  Other columns are ignored.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} must be an integer column; the files store 64-bit ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -145,7 +149,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64()), pa.array([kind])], ["name", "n_docs", "n_ids", "kind"])
 
     # one row a part comes back, whatever the size of the corpus
-    found = sorted(in_id_order(docs, id_col, text_col).mapInArrow(run, "name string, n_docs long, n_ids long, kind string").collect())
+    found = sorted(in_id_order(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col).mapInArrow(run, "name string, n_docs long, n_ids long, kind string").collect())
     parts, base = [], 0
     for r in found:
         parts.append({"name": r["name"], "n_docs": r["n_docs"], "n_ids": r["n_ids"], "base": base})

@@ -7,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tesserae.llm.encoding import PIECE, BatchEncoder, default_tokenizer_path
+from tesserae.llm import packing
 from tesserae.llm.packing import HARD_CUT, SENTENCE_CUT, WINDOW, cuts, pack_documents, plan
 from tesserae.llm.shared import fresh_dir
 from tesserae.llm.token_counts import CountingTransducer, states_before, token_counts, FRESH, IDLE, NEXT
@@ -84,7 +85,7 @@ def test_cuts_leave_no_gap_wider_than_a_window():
     assert np.diff(at).max() <= 128 and at[0] == 0 and at[-1] == 5000
 
 
-def check_pieces(rows, want):
+def check_pieces(rows, want, size=1024):
     sequences, docs = {}, {}
     for r in rows:
         sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -95,9 +96,9 @@ def check_pieces(rows, want):
         for offset, length in sorted(pieces):
             assert offset == end
             end += length
-        assert end <= 1024
+        assert end <= size
         used += end
-        padded += end if end & (end - 1) == 0 else 1024
+        padded += end if end & (end - 1) == 0 else size
     for i, ids in want.items():
         end = 0
         for r in sorted(docs[i], key=lambda r: r["start"]):
@@ -114,6 +115,52 @@ def test_packing(spark):
     assert check_pieces(pack_documents(docs, PATH).collect(), want) < 0.05
 
 
+@pytest.mark.parametrize("size", [1, 2, 16, 64, 100, 127, 128])
+def test_small_windows(size):
+    r = random.Random(size)
+    for _ in range(20):
+        n = r.randrange(1, 600)
+        ends = np.unique([r.randrange(1, n + 1) for _ in range(r.randrange(4))] + [n])
+        sentence = np.asarray(sorted({r.randrange(1, n + 1) for _ in range(r.randrange(8))}), np.int64)
+        at, penalty = cuts(n, ends, sentence, size)
+        chosen = at[plan(at, penalty, size)]
+        assert chosen[0] == 0 and chosen[-1] == n and np.diff(chosen).min() > 0 and np.diff(chosen).max() <= size
+
+
+def test_blocks_join_without_short_windows(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r["doc_id"]: [*ids_of(r["text"]), 0] for r in docs.collect()}
+    for size in (64, 1024):
+        check_pieces(pack_documents(docs, PATH, size).collect(), want, size)
+    # in this process: many small blocks pack about as well as one
+    ids = [np.asarray(v, np.uint32) for _, v in sorted(want.items())]
+    ends = packing.sentence_ends(LIBRARY)
+    rest, padding, pieces = None, 0, []
+    padded = lambda p: sum(0 if n & (n - 1) == 0 else 1024 - n for n in np.bincount(p["seq"], p["length"]).astype(int).tolist())
+    whole = packing.pack_stream(packing.Stream(np.concatenate(ids), np.append(0, np.cumsum([len(x) for x in ids])), pa.array(range(len(ids)))), ends, 1024, True)[0]
+    for k, own in enumerate(ids):
+        at, doc = np.asarray([0, len(own)]), pa.array([k])
+        rest = packing.Stream(own, at, doc) if rest is None else packing.Stream(np.concatenate([rest.ids, own]), np.append(rest.at, at[1:] + rest.at[-1]), pa.concat_arrays([rest.docs, doc]), rest.lead)
+        if len(rest.ids) > 40_000 or k == len(ids) - 1:
+            docs_of = rest.docs
+            p, rest = packing.pack_stream(rest, ends, 1024, k == len(ids) - 1)
+            pieces += zip(docs_of.take(pa.array(p["doc"])).to_pylist(), p["start"].tolist(), p["length"].tolist(), p["tokens"].tolist())
+            padding += padded(p)
+    end = {}
+    for k, start, length, tokens in pieces:
+        assert start == end.get(k, 0) and tokens == len(ids[k])
+        end[k] = start + length
+    assert end == {k: len(v) for k, v in enumerate(ids)} and not len(rest.ids)
+    assert padding <= padded(whole) + 1024
+
+
+def test_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("b", "two words"), ("a", "one"), (None, "none")], "doc_id string, text string")
+    assert [r["doc_id"] for r in sorted(pack_documents(docs.coalesce(1), PATH).collect(), key=lambda r: (r["sequence_id"], r["offset"]))] == [None, "a", "b"]
+    with pytest.raises(ValueError):
+        write_token_files(docs, PATH, fresh_dir(spark, "tokens"))
+
+
 def test_token_files_round_trip(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {r["doc_id"]: [*ids_of(r["text"]), 0] for r in docs.collect()}
