@@ -63,7 +63,11 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def train(table: list[tuple[list[list[str]], list[str]]], kinds: list[str], rounds: int = 150, rate: float = 0.5, l2: float = 0.01) -> Chain:
-    """A chain from (features of each word, label of each word) sequences; full-batch, so the result is fixed."""
+    """A chain from (features of each word, label of each word) sequences; full-batch, so the result is fixed.
+
+    No move is barred while it is trained, so that labels inside a span are told
+    from O by their words too; the chain it gives bars an I- that no span begins.
+    """
     labels = ["O"] + [f"{p}-{k}" for k in kinds for p in "BI"]
     features = {f: i for i, f in enumerate(sorted({f for words, _ in table for w in words for f in w}))}
     n, steps, size = len(table), max(len(y) for _, y in table), len(labels)
@@ -90,9 +94,9 @@ def train(table: list[tuple[list[list[str]], list[str]]], kinds: list[str], roun
         sc = np.zeros((n * steps, size))
         np.add.at(sc, rows, emit[cols])
         sc = sc.reshape(n, steps, size)
-        m = move + wall
+        m = move
         fwd, bwd = np.zeros_like(sc), np.zeros_like(sc)
-        fwd[:, 0] = first + sc[:, 0]
+        fwd[:, 0] = sc[:, 0]
         for t in range(1, steps):
             fwd[:, t] = np.where(real[:, t, None], _lse(fwd[:, t - 1, :, None] + m, 1) + sc[:, t], fwd[:, t - 1])
         for t in range(steps - 2, -1, -1):
@@ -104,7 +108,7 @@ def train(table: list[tuple[list[list[str]], list[str]]], kinds: list[str], roun
         ge = np.zeros_like(emit)
         np.add.at(ge, cols, d[rows])
         ge -= l2 * emit
-        gm = (gold_move - pair.sum(axis=(0, 1))) * allowed - l2 * move
+        gm = gold_move - pair.sum(axis=(0, 1)) - l2 * move
         g_emit += ge**2
         g_move += gm**2
         emit += rate * ge / (np.sqrt(g_emit) + 1e-8)

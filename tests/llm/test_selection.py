@@ -57,6 +57,65 @@ def test_field_learns_its_table_and_spares_clean_text():
         assert [ADDED[k] for _, k, _ in find([t], model)[0][1]] == [kind], t
 
 
+def held_out_rows(n, seed):
+    """Sentences whose words, names and values do not stand in the labelled table, with the spans that they hold."""
+    r = random.Random(seed)
+    pick = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
+    digits, hexes, upper = "0123456789", "0123456789abcdef", "ABCDEFGHJKLMNPQRSTUVWXYZ234567"
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: pick(letters, r.randrange(2, 9))
+    name = lambda: pick(letters, r.randrange(3, 8))
+    makers = {
+        "email": lambda: r.choice(["{0} (at) {1}.com", "{0} [at] {1}.org", "{0}.{2} (at) {1} (dot) net"]).format(name(), name(), name()),
+        "phone": lambda: r.choice(["({0}) {1}-{2}", "{0}-{1}-{2}"]).format(pick("23456789", 1) + pick(digits, 2), pick(digits, 3), pick(digits, 4)),
+        "ip": lambda: ":".join(pick(hexes, 4) for _ in range(8)),
+        "secret": lambda: r.choice([lambda: "AKIA" + pick(upper, 15) + pick(digits, 1), lambda: "ghp_" + pick(letters + digits, 20) + pick(digits, 2) + pick(letters, 6), lambda: "eyJ" + pick(letters + digits, 18) + "1." + pick(letters + digits, 24) + "2." + pick(letters + digits, 20)])(),
+        "named": lambda: pick(hexes, 9) + pick(digits, 2) + pick("abcdef", 1),
+    }
+    # fixed forms that no span covers
+    clean = ["the year {0}", "{0}.{1} percent", "on 19{1}-0{2}-1{2}", "pages {0}-{0}", "version {2}.{2}.{2}", "at 1{2}:{1}", "item {2}a", "{0}{0} people", "{2} of {1}", "$ {0}.{1}"]
+    out = []
+    for k in range(n):
+        kind = [*makers, "none"][k % 6]
+        before, after = ([word() for _ in range(r.randrange(3, 9))] for _ in range(2))
+        if kind == "none":
+            body, span = r.choice(clean).format(pick("123456789", 4), pick(digits, 2), pick("12345678", 1)), ""
+        else:
+            span = makers[kind]()
+            body = r.choice(["password={}", 'token = "{}"', "secret: {}", "https://" + name() + ".example/x?api_key={}&n=2"]).format(span) if kind == "named" else span
+        if kind == "phone":
+            body = r.choice(["call ", "phone ", "tel "]) + body
+        text = " ".join([*before, body, *after])
+        out.append((text, [(text.index(span), "secret" if kind == "named" else kind, text.index(span) + len(span))] if span else []))
+    return out
+
+
+def test_added_spans_on_held_out_rows():
+    model, rows = trained(), held_out_rows(1800, 11)
+    right, found, wanted = ({k: 0 for k in ADDED} for _ in range(3))
+    for text, want in rows:
+        base, spans = find([text], model)[0]
+        got = {(a, ADDED[k], b) for a, k, b in spans}
+        for column, some in ((right, got & set(want)), (found, got), (wanted, want)):
+            for _, kind, _ in some:
+                column[kind] += 1
+    for kind in ("email", "phone", "ip", "secret"):
+        assert right[kind] >= 0.9 * wanted[kind] > 0, (kind, right, wanted)
+        assert right[kind] >= 0.9 * found[kind], (kind, right, found)
+    assert sum(found.values()) - sum(right.values()) <= 0.1 * sum(found.values())
+
+
+def test_long_runs_and_long_words():
+    model = trained()
+    assert base_spans("0" * 5000 + ".1.1.1") == [(0, 1, 5006)] and base_spans("9" * 5000 + ".1.1.1") == []
+    jwt = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9." + "eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6Ikpv" * 5 + ".SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV"
+    url = "https://shop.example/login?user=eve&password=Qz7pLm29&page=2"
+    for text, part in ((f"the header {jwt} was sent", jwt), (f"open {url} now", "Qz7pLm29"), ("password=" + "5af3" * 400 + " there", "5af3" * 400), ('so token = "c1f80f127674f6764aed23d9333c5f5659a6d986" is', "c1f80f127674f6764aed23d9333c5f5659a6d986")):
+        (a, kind, b), = find([text], model)[0][1]
+        assert (ADDED[kind], text[a:b]) == ("secret", part)
+    assert find(["7" * 300_000 + " " + "1 2 " * 60_000], model)[0][1] == []
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(0)
     chain = Chain(["O", "B-a", "I-a"], {}, np.zeros((0, 3)), r.normal(size=(3, 3)), r.normal(size=3))
