@@ -3,6 +3,8 @@
 Each round is two aggregations with map-side combining and two joins; labels
 stay in tables of the shared folder, never on the driver.  Partition-local
 spanning forests come first, so that dense groups reach the rounds as stars.
+What is aggregated is written before it is joined: the join is then dealt anew,
+and a node of very many links is split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.shared import stored
+from tesserae.llm.textcore import tidied
 
 #: Edges a task holds at once while it thins them to a spanning forest.
 FOREST_EDGES = 2_000_000
@@ -66,15 +69,15 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     links are allowed; a link with a null end is ignored; no links give no rows.
     """
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v")
-    e = e.mapInArrow(_thin, "u long, v long").where("u <> v")
+    e = e.mapInArrow(tidied(_thin), "u long, v long").where("u <> v")
     e = stored(e, name)  # u > v from here on
     while True:
         # large star: every larger neighbour of a node moves to the node's smallest neighbour
         both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name)
+        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
         # small star: smaller neighbours and the node itself move to the smallest
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
+        lows = stored(large.groupBy("u").agg(F.min("v").alias("m")), name)
         pairs = large.join(lows, "u")
         small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(lows.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         nxt = stored(small.where("u > v"), name)

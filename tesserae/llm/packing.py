@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.encoding import encoder
-from tesserae.llm.textcore import gather_runs, text_blocks
+from tesserae.llm.textcore import gather_runs, text_blocks, tidied
 from tesserae.llm.token_files import in_id_order, with_end
 
 #: Padded tokens that one cut is worth: at a sentence's end, elsewhere in a document; and a window's own cost, which breaks ties.
@@ -197,5 +197,5 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_i
         if rest is not None and len(rest.ids):
             yield out(True)
 
-    packed = in_id_order(docs, id_col, text_col).mapInArrow(run, SCHEMA.format(docs.schema[id_col].dataType.simpleString()))
+    packed = in_id_order(docs, id_col, text_col).mapInArrow(tidied(run), SCHEMA.format(docs.schema[id_col].dataType.simpleString()))
     return packed if id_col == "doc_id" else packed.withColumnRenamed("doc_id", id_col)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.crf import Chain, train
-from tesserae.llm.textcore import text_blocks
+from tesserae.llm.textcore import text_blocks, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = (*KINDS, "secret")
@@ -450,4 +450,4 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", us
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, digest, pa.array([written(x) for _, x in found], pa.string())], ["id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidied(run), f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string").withColumnRenamed("id", id_col)

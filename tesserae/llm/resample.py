@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.shared import stored
-from tesserae.llm.textcore import MIX, hash_words, mix, text_blocks, words_of
+from tesserae.llm.textcore import MIX, hash_words, mix, text_blocks, tidied, words_of
 
 BUCKETS = 1 << 16
 #: Labelled target documents used at most, a bound on what is broadcast; chosen by a hash of the id.
@@ -68,7 +68,7 @@ def ngram_counts(docs: DataFrame, targets: DataFrame) -> tuple[np.ndarray, np.nd
                 target[:-1] += np.bincount(grams[hit[i:j][doc]], minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS + 1)), pa.array(raw), pa.array(target)], ["bucket", "raw", "target"])
 
-    sums = flagged.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    sums = flagged.mapInArrow(tidied(run), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for r in sums.collect():  # BUCKETS + 1 rows, whatever the corpus
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
@@ -142,7 +142,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, noise: fl
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.concatenate(words)), pa.array(np.concatenate(logs))], ["id", "h", "n_words", "log_weight"])
 
     hashed = rows.withColumn("h", F.xxhash64(F.lit(seed), "id", "t"))
-    scored = hashed.mapInArrow(run, f"id {kind}, h long, n_words long, log_weight double")
+    scored = hashed.mapInArrow(tidied(run), f"id {kind}, h long, n_words long, log_weight double")
     uniform = (F.shiftrightunsigned("h", 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     keyed = stored(scored.withColumn("key", F.col("log_weight") - noise * F.log(-F.log(uniform))), "resample")
     cut = kth_largest(keyed, k)

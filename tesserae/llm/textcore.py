@@ -7,7 +7,7 @@ Python object is made per word.  Nulls count as empty texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,10 +60,7 @@ class Words:
         lengths = self.ends - self.starts
         at = np.zeros(len(lengths) + 1, np.int64)
         np.cumsum(lengths, out=at[1:])
-        inside = np.zeros(len(self.flat) + 1, np.int8)
-        inside[self.starts] += 1
-        np.subtract.at(inside, self.ends, 1) if len(self.ends) else None
-        body = self.flat[np.cumsum(inside[:-1]).astype(bool)]
+        body = self.flat[~((self.flat == 32) | ((self.flat >= 9) & (self.flat <= 13)))]
         words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(body))])
         coded = words.dictionary_encode()
         return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
@@ -156,3 +153,24 @@ def text_blocks(texts: pa.Array, limit: int = TEXT_BLOCK) -> Iterator[tuple[int,
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, "right")))
         yield i, j
         i = j
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, whose task's end gives memory that is no longer used back to the system.
+
+    Python workers outlive their tasks, so what one stage has freed but kept
+    would count against the executor while others run.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ctypes
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return whole

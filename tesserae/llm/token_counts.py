@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.encoding import byte_letters
-from tesserae.llm.textcore import text_blocks
+from tesserae.llm.textcore import text_blocks, tidied
 
 # character classes
 LETTER, STMD, R, V, ELL, E, NUMBER, SPACE, WHITE, QUOTE, OTHER = range(11)
@@ -332,5 +332,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), text.alias("t"))
-    counted = rows.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
+    counted = rows.mapInArrow(tidied(run), f"id {kind}, n_bytes long, n_tokens long")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

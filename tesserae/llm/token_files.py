@@ -27,7 +27,7 @@ from pyspark.sql.types import IntegralType
 
 from tesserae.llm.encoding import encoder
 from tesserae.llm.shared import parallelism
-from tesserae.llm.textcore import gather_runs, text_blocks
+from tesserae.llm.textcore import gather_runs, text_blocks, tidied
 
 NULL_ID = -(1 << 63)
 
@@ -96,7 +96,7 @@ class TokenFiles:
                             crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(at0[:-1].tolist(), at0[1:].tolist())]
                             yield pa.RecordBatch.from_arrays([*head, pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-        return names.mapInArrow(run, schema)
+        return names.mapInArrow(tidied(run), schema)
 
 
 def mapped(uri: str, dtype: str) -> np.ndarray:
@@ -149,7 +149,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64()), pa.array([kind])], ["name", "n_docs", "n_ids", "kind"])
 
     # one row a part comes back, whatever the size of the corpus
-    found = sorted(in_id_order(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col).mapInArrow(run, "name string, n_docs long, n_ids long, kind string").collect())
+    found = sorted(in_id_order(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col).mapInArrow(tidied(run), "name string, n_docs long, n_ids long, kind string").collect())
     parts, base = [], 0
     for r in found:
         parts.append({"name": r["name"], "n_docs": r["n_docs"], "n_ids": r["n_ids"], "base": base})
