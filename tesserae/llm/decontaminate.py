@@ -1,19 +1,22 @@
 """Documents that hold benchmark items.
 
-Candidates come from an inverted list of the items' shingles: a document's
-windows of an item's own size that hold enough of its shingles for the
-threshold, in whatever order and place.  Every item has a SimHash fingerprint of
-its word shingles; candidate windows are fingerprinted too, and an index by
-blocks of bits confirms those whose fingerprint lies within the radius of the
-item's: with m blocks and radius r, two fingerprints within r agree in some
-block up to floor(r / m) bits, and the index holds all such patterns of each
-item's blocks.  What is confirmed is verified
-by their exact weighted-shingle similarity, the sum of the smaller weights over
-the sum of the larger, a shingle's weight being its number of occurrences.
+1. Each item has a SimHash fingerprint of its word shingles.  A text is read in
+   windows of the items' own sizes, one size after another, and a window's
+   fingerprint comes from running sums of its shingles' bits.  Windows that hold
+   too few shingles of any item of their size to reach the threshold, in
+   whatever order, are not fingerprinted: no item could match them.
+2. A multi-index over blocks of bits gives the items near a window.  With m
+   blocks and radius r, fingerprints within r differ in at most floor(r / m)
+   bits in some block, so looking up each block at that tolerance finds all
+   items within the radius, and the whole distance is taken of those alone.
+3. Candidates are verified by their exact weighted-shingle similarity, the sum
+   of the smaller weights over the sum of the larger, a shingle's weight being
+   its number of occurrences.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -21,12 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tesserae.llm.textcore import MIX, gather_runs, hash_words, mix, shingle_hashes, text_blocks, words_of
+from tesserae.llm.textcore import MIX, gather_runs, hash_words, mix, shingle_hashes, text_blocks, tidied, words_of
 
 BLOCKS, WIDTH = 4, 16
-#: At most this many items and bytes of items travel to the tasks at once; a larger benchmark takes more passes.
-ITEMS_PER_PASS, BYTES_PER_PASS = 1024, 16 << 20
+#: Bytes of items in one broadcast, of all broadcasts that one scan of the documents may use, and of items that a worker keeps compiled.
+BLOCK_BYTES, SCAN_BYTES, COMPILED_BYTES = 8 << 20, 1 << 30, 32 << 20
+#: Windows fingerprinted at once, and pairs of a window and a block's value looked up at once.
+WINDOWS, PAIRS = 50_000, 2_000_000
 
 
 def fingerprint(shingles: np.ndarray) -> np.uint64:
@@ -34,6 +40,17 @@ def fingerprint(shingles: np.ndarray) -> np.uint64:
     return np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(shingles), bitorder="little").view("<u8")[0]
 
 
+def window_fingerprints(shingles: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of windows [start, end) of shingles, and a hash of each window's shingles that forgets their order."""
+    bits = np.unpackbits(shingles.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    sums = np.zeros((len(shingles) + 1, 64), np.int32)
+    np.cumsum(bits, axis=0, out=sums[1:])
+    over = 2 * (sums[ends] - sums[starts]) > (ends - starts)[:, None]
+    with np.errstate(over="ignore"):
+        bags = np.append(np.uint64(0), np.cumsum(mix(shingles)))
+        return np.packbits(over, axis=1, bitorder="little").reshape(-1).view("<u8"), bags[ends] - bags[starts]
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard similarity of two lists of shingle hashes."""
     x, n = np.unique(a, return_counts=True)
@@ -52,43 +69,76 @@ def run_hashes(word_hash: np.ndarray, n: int) -> np.ndarray:
         return mix(out + np.uint64(n))
 
 
+class HammingIndex:
+    """All of a set of fingerprints within a radius of a given one, by multi-index lookups over blocks of bits."""
+
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.radius, self.least = prints, radius, radius // BLOCKS
+        self.patterns = np.asarray([sum(1 << b for b in c) for n in range(min(self.least, WIDTH) + 1) for c in combinations(range(WIDTH), n)], np.uint64)
+        self.tables = []
+        for b in range(BLOCKS):
+            own = self.block(prints, b)
+            order = np.argsort(own, kind="stable")
+            values, first = np.unique(own[order], return_index=True)
+            self.tables.append((values, np.append(first, len(own)), order))
+
+    @staticmethod
+    def block(prints: np.ndarray, b: int) -> np.ndarray:
+        return (prints >> np.uint64(WIDTH * b)) & np.uint64((1 << WIDTH) - 1)
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in prints, place in the set) of all pairs within the radius, in order."""
+        queries, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for b, (values, first, order) in enumerate(self.tables):
+            if not len(values):
+                continue
+            # few values: each is compared; many: each pattern of flipped bits is looked up
+            width = min(len(values), len(self.patterns))
+            for i in range(0, len(prints), max(1, PAIRS // width)):
+                own = self.block(prints[i : i + max(1, PAIRS // width)], b)
+                if len(values) <= len(self.patterns):
+                    q, v = np.nonzero(np.bitwise_count(own[:, None] ^ values) <= self.least)
+                else:
+                    asked = own[:, None] ^ self.patterns
+                    at = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+                    q, n = np.nonzero(values[at] == asked)
+                    v = at[q, n]
+                sizes = first[v + 1] - first[v]
+                q, item = np.repeat(q + i, sizes), order[gather_runs(first[v], sizes)]
+                near = np.bitwise_count(prints[q] ^ self.prints[item]) <= self.radius
+                queries.append(q[near])
+                found.append(item[near])
+        pairs = np.unique(np.stack([np.concatenate(queries), np.concatenate(found)]), axis=1)
+        return pairs[0], pairs[1]
+
+
 class Benchmark:
-    """Compiled items: shingles, fingerprints and the block index."""
+    """Compiled items: shingles, fingerprints and, for each size of items, an index."""
 
     def __init__(self, ids: list, texts: list[str | None], k: int, threshold: float, radius: int):
-        self.k, self.threshold, self.radius = k, threshold, radius
+        self.ids, self.k, self.threshold = ids, k, threshold
         w = words_of(pa.array(texts, pa.string()))
-        codes, words = w.codes()
+        codes, words = w.codes() if len(w.starts) else (np.empty(0, np.int64), pa.array([], pa.large_binary()))
         hashes, at = shingle_hashes(hash_words(words)[codes] if len(codes) else np.empty(0, np.uint64), w.first, k)
-        some = np.flatnonzero(w.counts)  # an item without words is in no document
-        self.ids = [ids[i] for i in some]
-        self.size = w.counts[some]
-        self.shingles = [hashes[at[i] : at[i + 1]] for i in some]
-        self.print = np.asarray([fingerprint(s) for s in self.shingles], np.uint64)
-        long = [n for n in range(len(self.ids)) if self.size[n] >= k]
-        flat = np.concatenate([self.shingles[n] for n in long]) if long else np.empty(0, np.uint64)
-        item = np.repeat(long, [len(self.shingles[n]) for n in long]).astype(np.int64)
-        place = gather_runs(np.zeros(len(long), np.int64), np.asarray([len(self.shingles[n]) for n in long], np.int64))
-        order = np.argsort(flat, kind="stable")
-        self.item, self.place = item[order], place[order]
-        self.known, first = np.unique(flat[order], return_index=True)
-        self.first = np.append(first, len(flat))
-        self.short = {int(n): {} for n in set(self.size.tolist()) if n < k}
-        for n in range(len(self.ids)):
-            if self.size[n] < k:
-                self.short[int(self.size[n])].setdefault(int(self.shingles[n][0]), []).append(n)
-        near = [sum(1 << b for b in c) for n in range(radius // BLOCKS + 1) for c in combinations(range(WIDTH), n)]
-        self.index: list[dict[int, list[int]]] = [{} for _ in range(BLOCKS)]
-        for n in long:
-            for b in range(BLOCKS):
-                own = int(self.print[n]) >> (WIDTH * b) & ((1 << WIDTH) - 1)
-                for flip in near:
-                    self.index[b].setdefault(own ^ flip, []).append(n)
+        self.size, self.hashes, self.at = w.counts, hashes, at
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for n in np.flatnonzero((self.size > 0) & (self.size < k)).tolist():  # an item without words is in no document
+            self.short.setdefault(int(self.size[n]), {}).setdefault(int(hashes[at[n]]), []).append(n)
+        self.print = np.zeros(len(ids), np.uint64)
+        #: for each size: its items, the sorted shingles that any of them holds, and the index of their fingerprints
+        self.sizes: dict[int, tuple[np.ndarray, np.ndarray, HammingIndex]] = {}
+        for size in np.unique(self.size[self.size >= k]).tolist():
+            items = np.flatnonzero(self.size == size)
+            self.print[items] = [fingerprint(self.shingles(n)) for n in items.tolist()]
+            self.sizes[size] = items, np.unique(np.concatenate([self.shingles(n) for n in items.tolist()])), HammingIndex(self.print[items], radius)
+        self.known = np.unique(np.concatenate([known for _, known, _ in self.sizes.values()])) if self.sizes else np.empty(0, np.uint64)
+
+    def shingles(self, n: int) -> np.ndarray:
+        return self.hashes[self.at[n] : self.at[n + 1]]
 
     def within(self, fp: int) -> set[int]:
-        """All items whose fingerprints lie within the radius."""
-        found = {n for b in range(BLOCKS) for n in self.index[b].get(fp >> (WIDTH * b) & ((1 << WIDTH) - 1), ())}
-        return {n for n in found if (int(self.print[n]) ^ fp).bit_count() <= self.radius}
+        """All items of k words or more whose fingerprints lie within the radius."""
+        return {int(items[n]) for items, _, index in self.sizes.values() for n in index.near(np.asarray([fp], np.uint64))[1]}
 
     def search(self, texts: pa.Array) -> Iterator[tuple[int, int, int, float]]:
         """(row, item, first word, similarity): the best window of each item a text holds; the earliest among equals."""
@@ -112,59 +162,54 @@ class Benchmark:
                     for n in table[int(runs[p])]:
                         keep(row, n, p - int(w.first[row]), 1.0)
         shingles, at = shingle_hashes(word_hash, w.first, self.k)
-        if len(self.known) and len(shingles):
-            slot = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-            hit = np.flatnonzero(self.known[slot] == shingles)
-            n_of = self.first[slot[hit] + 1] - self.first[slot[hit]]
-            item = self.item[gather_runs(self.first[slot[hit]], n_of)]
-            hit = np.repeat(hit, n_of)
-            row = np.searchsorted(at, hit, "right") - 1
-            for r, n, starts in self._starts(row, item, hit - at[row], w.counts):
-                total, m = int(w.counts[r]), int(self.size[n])
-                for s in starts:
-                    a, b = max(0, s), min(s + m, total)  # at a text's edge the window is what there is
-                    own = shingles[at[r] + a : at[r] + b - self.k + 1]
-                    if n in self.within(int(fingerprint(own))):
-                        keep(r, n, a, similarity(own, self.shingles[n]))
+        hit = np.flatnonzero(_among(shingles, self.known))
+        for size, (items, known, index) in self.sizes.items() if len(hit) else ():
+            own = hit[_among(shingles[hit], known)]
+            for row, starts in self._starts(np.searchsorted(at, own, "right") - 1, own, at, size - self.k + 1):
+                for i in range(0, len(starts), WINDOWS):
+                    a, b = np.maximum(starts[i : i + WINDOWS], at[row]), np.minimum(starts[i : i + WINDOWS] + size - self.k + 1, at[row + 1])
+                    lo = int(a[0])
+                    prints, bags = window_fingerprints(shingles[lo : int(b.max())], a - lo, b - lo)
+                    _, first = np.unique(bags, return_index=True)  # windows of the same shingles are one; the earliest counts
+                    first.sort()
+                    for q, n in zip(*(x.tolist() for x in index.near(prints[first]))):
+                        x, y = int(a[first[q]]), int(b[first[q]])
+                        keep(row, int(items[n]), x - int(at[row]), similarity(shingles[x:y], self.shingles(items[n])))
         for (row, n), (s, start) in sorted(best.items()):
             yield row, n, start, s
 
-    def _starts(self, row: np.ndarray, item: np.ndarray, place: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, list[int]]]:
-        """Per row and item the starts of all windows that hold enough of the item's shingles, in whatever order.
+    def _starts(self, row: np.ndarray, place: np.ndarray, at: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Per row the starts of all windows of ``length`` shingles that hold enough of the places, in whatever order.
 
         A window of a shingles, c of them in an item of l, has at most
         similarity c / (a + l - c); only windows below the threshold by that
-        bound are left out.
+        bound are left out.  At a text's edge the window is what there is of it.
         """
-        order = np.lexsort((place, item, row))
-        row, item, place = row[order], item[order], place[order]
-        if not len(row):
-            return
-        new = np.append(True, (np.diff(row) != 0) | (np.diff(item) != 0) | (np.diff(place) != 0))  # a place counts once
-        row, item, place = row[new], item[new], place[new]
-        length = self.size[item] - self.k + 1
-        need = np.maximum(np.ceil(self.threshold * length - 1e-9).astype(np.int64), 1)
-        # places i .. i + need - 1 of one row and item that fit in a window; every window with enough holds such a run
-        last = np.arange(len(row)) + need - 1
-        ok = last < len(row)
-        last = np.minimum(last, len(row) - 1)
-        ok &= (row[last] == row) & (item[last] == item) & (place[last] - place < length)
-        runs = np.flatnonzero(ok)
-        if not len(runs):
+        need = max(int(np.ceil(self.threshold * length - 1e-9)), 1)
+        # places i .. i + need - 1 of one row that fit in a window; every window with enough holds such a run
+        last = np.arange(len(row) - need + 1) + need - 1
+        if not len(last):
             return
-        cut = np.flatnonzero((np.diff(row[runs]) != 0) | (np.diff(item[runs]) != 0)) + 1
-        for lo, hi in zip(np.append(0, cut).tolist(), np.append(cut, len(runs)).tolist()):
-            own = runs[lo:hi]
-            r, n, l = int(row[own[0]]), int(item[own[0]]), int(length[own[0]])
-            a, b = place[last[own]] - l + 1, place[own] + 1
-            s = np.unique(gather_runs(a, b - a))
+        runs = np.flatnonzero((row[last] == row[: len(last)]) & (place[last] - place[: len(last)] < length))
+        for own in np.split(runs, np.flatnonzero(np.diff(row[runs])) + 1) if len(runs) else ():
+            r = int(row[own[0]])
+            # between the end of a run's window and the run's beginning; steps of runs overlap, so their union is taken
+            a, b = place[last[own]] - length + 1, place[own] + 1
+            a[1:] = np.maximum(a[1:], np.maximum.accumulate(b)[:-1])
+            s = gather_runs(a[a < b], (b - a)[a < b])
             among = place[own[0] : last[own[-1]] + 1]
-            c = np.searchsorted(among, s + l) - np.searchsorted(among, s)
-            size = np.minimum(s + l, int(counts[r]) - self.k + 1) - np.maximum(s, 0)
-            yield r, n, s[c >= self.threshold * (size + l - c) - 1e-9].tolist()
+            c = np.searchsorted(among, s + length) - np.searchsorted(among, s)
+            size = np.minimum(s + length, at[r + 1]) - np.maximum(s, at[r])
+            s = s[c >= self.threshold * (size + length - c) - 1e-9]
+            if len(s):
+                yield r, s
 
 
-_compiled: dict[tuple, Benchmark] = {}
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is in the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list[str | None]]]:
@@ -174,71 +219,98 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tu
     for r in rows.toLocalIterator():
         ids.append(r["i"])
         texts.append(r["t"])
-        size += len((r["t"] or "").encode())
-        if len(ids) >= ITEMS_PER_PASS or size >= BYTES_PER_PASS:
+        size += len((r["t"] or "").encode()) + 16
+        if size >= BLOCK_BYTES:
             yield ids, texts
             ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 19, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+class Shared:
+    """Broadcast blocks of a benchmark; a worker compiles each once and keeps as many as its bound allows."""
+
+    def __init__(self, blocks: list, k: int, threshold: float, radius: int):
+        self.key, self.blocks, self.settings = uuid.uuid4().hex, blocks, (k, threshold, radius)
+
+    def __iter__(self) -> Iterator[Benchmark]:
+        for n, block in enumerate(self.blocks):
+            yield _compile((self.key, n), block, self.settings)
+
+
+_compiled: dict[tuple, Benchmark] = {}
+
+
+def _compile(key: tuple, block, settings: tuple) -> Benchmark:
+    if key not in _compiled:
+        if len(_compiled) >= max(1, COMPILED_BYTES // BLOCK_BYTES):
+            del _compiled[next(iter(_compiled))]
+        _compiled[key] = Benchmark(*block.value, *settings)
+    return _compiled[key]
+
+
+def scans(spark, benchmark: DataFrame, k: int, threshold: float, radius: int, id_col: str, text_col: str) -> Iterator[Shared]:
+    """The benchmark for one scan of the documents, or for more where it is over SCAN_BYTES."""
+    held: list = []
+    for block in item_blocks(benchmark, id_col, text_col):
+        held.append(spark.sparkContext.broadcast(block))
+        if len(held) >= SCAN_BYTES // BLOCK_BYTES:
+            yield Shared(held, k, threshold, radius)
+            held = []
+    if held:
+        yield Shared(held, k, threshold, radius)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 23, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, start_word, n_words, similarity) of each item that a document holds, at its best window.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  An item of fewer
     than k words has one shingle, its whole sequence, and is found where that
-    stands.  Null and empty texts hold nothing, and items without words are in
-    nothing; null ids stay; repeated documents and items give repeated rows; an
-    empty table on either side gives no rows; other columns are ignored.  One
-    pass over the documents per block of items, without a shuffle.
+    stands.  Windows whose fingerprint differs from the item's in more than
+    ``radius`` of 64 bits are not found.  Null and empty texts hold nothing, and
+    items without words are in nothing; null ids stay; ids may be of any type;
+    repeated documents and items give repeated rows; an empty table on either
+    side gives no rows; other columns are ignored.  One scan of the documents
+    for each SCAN_BYTES of items, without a shuffle.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    item_kind = benchmark.schema[item_col].dataType.simpleString()
+    kind, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    schema = f"id {kind}, item {item_kind}, start_word long, n_words long, similarity double"
-    spark = docs.sparkSession
+    schema = f"id {kind}, item {item_type.simpleString()}, start_word long, n_words long, similarity double"
+    arrow_type = to_arrow_type(item_type)
     out = None
-    for block in item_blocks(benchmark, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast(block)
+    for shared in scans(docs.sparkSession, benchmark, k, threshold, radius, item_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Benchmark(*shared.value, k, threshold, radius)
             for b in batches:
                 texts = b.column(1)
                 for i, j in text_blocks(texts):
-                    found = list(items.search(texts.slice(i, j - i)))
-                    if found:
-                        row, n, start, s = zip(*found)
-                        yield pa.RecordBatch.from_arrays(
-                            [b.column(0).take(pa.array([i + r for r in row])), pa.array([items.ids[x] for x in n]).cast(_arrow(item_kind)), pa.array(start, pa.int64()), pa.array([int(items.size[x]) for x in n], pa.int64()), pa.array(s, pa.float64())],
-                            ["id", "item", "start_word", "n_words", "similarity"],
-                        )
-
-        part = rows.mapInArrow(run, schema)
+                    for items in shared:
+                        found = list(items.search(texts.slice(i, j - i)))
+                        if found:
+                            row, n, start, s = zip(*found)
+                            columns = [b.column(0).take(pa.array([i + r for r in row])), pa.array([items.ids[x] for x in n], arrow_type), pa.array(start, pa.int64()), pa.array(items.size[list(n)], pa.int64()), pa.array(s, pa.float64())]
+                            yield pa.RecordBatch.from_arrays(columns, ["id", "item", "start_word", "n_words", "similarity"])
+
+        part = rows.mapInArrow(tidied(run), schema)
         out = part if out is None else out.union(part)
     if out is None:
-        out = spark.createDataFrame([], schema)
+        out = docs.sparkSession.createDataFrame([], schema)
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 19, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents in which ``find_leaks`` finds an item; one pass per block of items, no shuffle."""
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, radius: int = 23, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents in which ``find_leaks`` finds an item; one scan, no shuffle."""
     at = docs.columns.index(text_col)
-    for block in item_blocks(benchmark, item_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    for shared in scans(docs.sparkSession, benchmark, k, threshold, radius, item_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = Benchmark(*shared.value, k, threshold, radius)
             for b in batches:
                 texts = b.column(at).cast(pa.large_string())
                 held = np.zeros(b.num_rows, bool)
                 for i, j in text_blocks(texts):
-                    held[[i + found[0] for found in items.search(texts.slice(i, j - i))]] = True
+                    for items in shared:
+                        held[[i + found[0] for found in items.search(texts.slice(i, j - i))]] = True
                 yield b.filter(pa.array(~held))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidied(run), docs.schema)
     return docs
-
-
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(kind, pa.string())
