@@ -6,9 +6,13 @@ one pass over each key's rows marks its first occurrence and counts its
 documents.  Marks return to the documents as run-length bitmaps of dropped
 lines, never as text.
 
-A very common line would put all its rows into one range.  Such heavy keys,
-found by a frequent-items sketch, are at most HEAVY in number; their rows are
-summed where they stand (map-side) and the sums broadcast back.
+A very common line would put all its rows into one range.  Such heavy keys are
+found by frequent-items sketches, one for each of SKETCHES shares of the hashes,
+so that no task merges more than its share; their rows are summed where they
+stand (map-side) and the sums, at most SKETCHES * HEAVY rows, broadcast back.  A
+key is heavy above HEAVY_ROWS rows, or above a share of a small table, however
+large the corpus; what the sketches can't list has less than one in
+SKETCHES * HEAVY of its share's rows.
 """
 
 from __future__ import annotations
@@ -20,9 +24,10 @@ from tesserae.llm.shared import parallelism, stored
 
 WHITE = " \t\n\x0b\x0c\r"
 A_Z, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Keys whose rows are summed in place: the HEAVY most frequent ones of the sketch.
-HEAVY = 256
-SKETCH = 4096
+#: Sketches, keys that each lists, and keys that each tracks.
+SKETCHES, HEAVY, TRACKED = 64, 256, 4096
+#: A key of more rows is summed in place: the absolute bound, and the share of a table's rows that counts below it, from LEAST_ROWS on.
+HEAVY_ROWS, HEAVY_SHARE, LEAST_ROWS = 1_000_000, 1024, 1000
 
 
 def line_key(line: Column) -> Column:
@@ -68,9 +73,9 @@ def dropped_lines(docs: DataFrame, min_docs: int, min_chars: int, keep_first: bo
     """(doc, th, dropped): runs of dropped lines, for rows that lose any."""
     # the texts are cut into lines once; sketch, ranges and sums read the small rows
     rows = stored(line_rows(docs, id_col, text_col, min_chars), "lines")
-    top = rows.agg(F.expr(f"approx_top_k(a, {HEAVY}, {SKETCH})").alias("top")).first()["top"]
-    total = sum(x["count"] for x in top)
-    heavy = [x["item"] for x in top if x["count"] > max(1000, total // (4 * HEAVY))]
+    sketches = rows.groupBy(F.pmod("b", F.lit(SKETCHES))).agg(F.count("*").alias("n"), F.expr(f"approx_top_k(a, {HEAVY}, {TRACKED})").alias("top")).collect()
+    limit = min(HEAVY_ROWS, max(LEAST_ROWS, sum(s["n"] for s in sketches) // HEAVY_SHARE))
+    heavy = [x["item"] for s in sketches for x in s["top"] if x["count"] > limit]  # SKETCHES * HEAVY at most
     is_heavy = F.col("a").isin(heavy) if heavy else F.lit(False)
 
     # light keys: ranges of hashes, documents and positions in order within; one pass over each key's rows
