@@ -8,6 +8,11 @@ a bucket the second segment is looked up in a sorted array at its own budget,
 so only pairs that already hold l = 1 and l = 2 are formed; l = 3 .. m prune
 them before the whole distance is taken.
 
+A bucket of very many rows is split before it is dealt: its rows meet by both
+their first two segments, each at home under its own second segment and as a
+visitor where one of that segment's unset bits is set, which is the budget of
+one bit at l = 2.
+
 Equal fingerprints meet once, in an aggregation, so any number of copies costs
 one row.  A bucket emits a spanning forest of its links and not all pairs.
 """
@@ -23,14 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.components import connected_components, forest
-from tesserae.llm.shared import stored
-from tesserae.llm.textcore import gather_runs, text_blocks, words_of
+from tesserae.llm.shared import parallelism, stored
+from tesserae.llm.textcore import gather_runs, text_blocks, tidied, words_of
 
 SIGN = np.uint64(1 << 63)
 #: Bytes of text fingerprinted at once; each byte of text takes some 30 of memory while it is.
 FINGERPRINT_BLOCK = 2 << 20
 #: Pairs formed at once within a bucket.
 PAIR_BLOCK = 2_000_000
+#: Rows of a first segment above which its bucket is split by the second.
+BUCKET_ROWS = 200_000
 
 
 def fingerprints(texts: pa.Array, k: int = 3, seed: int = 42) -> np.ndarray:
@@ -73,7 +80,7 @@ def fingerprint_column(docs: DataFrame, k: int = 3, id_col: str = "doc_id", text
             fp = [fingerprints(texts.slice(i, j - i), k) for i, j in text_blocks(texts, FINGERPRINT_BLOCK)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(fp).view(np.int64) if fp else [], pa.int64())], ["id", "fp"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(tidied(run), f"id {kind}, fp long")
 
 
 class Ring:
@@ -181,11 +188,24 @@ def forest_of(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a.view(np.uint64) ^ SIGN, b.view(np.uint64) ^ SIGN
 
 
-def near_links(distinct: DataFrame, radius: int, segments: int) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int, segments: int, bucket_rows: int | None = None) -> DataFrame:
     """(u, v) links that connect whatever pairs of distinct ``fp`` within ``radius`` connect."""
     ring = Ring(radius, segments)
-    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", ring.low[i]).bitwiseAND(F.lit((1 << ring.width[i]) - 1)).alias("s")) for i in range(segments)])).alias("k"))
-    keyed = keyed.select("k.i", "k.s", "fp").repartition("i", "s").sortWithinPartitions("i", "s", "fp")
+    spark = distinct.sparkSession
+    segment = lambda i: F.shiftrightunsigned("fp", ring.low[i % segments]).bitwiseAND(F.lit((1 << ring.width[i % segments]) - 1))
+    keyed = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), segment(i).alias("s"), segment(i + 1).alias("next")) for i in range(segments)])).alias("k")).select("k.*", "fp")
+    if ring.budget(2) <= 1 and max(ring.width) <= 20:
+        # at most segments * 2 ** width rows, whatever the corpus
+        limit = BUCKET_ROWS if bucket_rows is None else bucket_rows
+        large = keyed.groupBy("i", "s").count().where(F.col("count") > limit).select("i", "s", F.lit(True).alias("large"))
+        keyed = keyed.join(F.broadcast(stored(large, "simhash-large")), ["i", "s"], "left")
+        visits = [F.when((F.shiftright("next", b) % 2 == 0) & (F.lit(b) < F.element_at(F.lit(ring.width), (F.col("i") + 1) % segments + 1)), F.col("next") + (1 << b)) for b in range(max(ring.width))] if ring.budget(2) else []
+        homes = F.when(F.col("large"), F.array_compact(F.array(F.col("next"), *visits))).otherwise(F.array(F.lit(-1).cast("long")))
+        keyed = keyed.withColumn("home", F.explode(homes))
+    else:
+        keyed = keyed.withColumn("home", F.lit(-1).cast("long"))
+    # a count that adaptive execution keeps: the work is in the tasks, not in the bytes
+    keyed = keyed.select("i", F.struct("s", "home").alias("s"), "fp").repartition(parallelism(spark), "i", "s").sortWithinPartitions("i", "s", "fp").select("i", F.xxhash64("s").alias("s"), "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links(i: int, fp: list[np.ndarray]) -> pa.RecordBatch | None:
@@ -210,7 +230,7 @@ def near_links(distinct: DataFrame, radius: int, segments: int) -> DataFrame:
         if held and (out := links(now[0], held)) is not None:
             yield out
 
-    return keyed.mapInArrow(run, "u long, v long")
+    return keyed.mapInArrow(tidied(run), "u long, v long")
 
 
 def simhash_groups(docs: DataFrame, k: int = 3, radius: int = 3, segments: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

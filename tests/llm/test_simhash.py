@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from tesserae.llm.components import forest
-from tesserae.llm.simhash import Ring, bucket_links, fingerprints, one_of_each_group, simhash_groups
+from tesserae.llm.simhash import Ring, bucket_links, fingerprints, near_links, one_of_each_group, simhash_groups
 from tests.llm.data import SF, awkward, empty, words
 
 
@@ -81,6 +81,23 @@ def test_pigeonring_loses_no_link(radius, segments):
     assert got == dict(zip(wn.tolist(), wr.tolist()))
 
 
+@pytest.mark.parametrize("radius,segments", [(3, 4), (2, 4), (1, 2)])
+def test_split_buckets_lose_no_link(spark, radius, segments):
+    # all alike in one segment, so that its bucket is large
+    r = np.random.default_rng(radius)
+    fp = planted(200, 7 + radius) & ~np.uint64(0xFFFF) | np.uint64(77)
+    fp = np.unique(np.concatenate([fp, fp ^ (np.uint64(1) << r.integers(0, 64, len(fp)).astype(np.uint64))]))
+    table = spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long")
+
+    def classes(rows):
+        node, root = forest(np.asarray([x["u"] for x in rows]), np.asarray([x["v"] for x in rows]))
+        return dict(zip(node.tolist(), root.tolist()))
+
+    want = classes([{"u": int(fp[i].view(np.int64)), "v": int(x)} for i in range(len(fp)) for x in fp[np.bitwise_count(fp ^ fp[i]) <= radius].view(np.int64)])
+    for rows in (5, 10**9):
+        assert classes(near_links(table, radius, segments, rows).collect()) == want
+
+
 def test_dense_bucket_uses_the_deep_key():
     # 2000 fingerprints alike in two segments: the rest of the ring is looked up, not compared pair by pair
     r = np.random.default_rng(1)
