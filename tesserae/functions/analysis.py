@@ -77,21 +77,42 @@ def _from(t: Column, n: int) -> Callable[[Column], Column]:
     return lambda i: F.substring(t, i, F.lit(n))
 
 
+def _grams(t: Column, low: int, high: int) -> Column:
+    """Grams of low .. high characters, by start and then by size."""
+    starts = F.when(F.length(t) >= low, F.sequence(F.lit(1), F.greatest(F.length(t) - low + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+
+    def at(i: Column) -> Column:
+        return F.transform(F.sequence(F.lit(low), F.least(F.lit(high), F.length(t) - i + 1)), lambda n: F.substring(t, i, n))
+
+    return F.flatten(F.transform(starts, at))
+
+
 def ngram(low: int = 1, high: int = 2) -> Callable[[Column], Stream]:
-    """All grams of low .. high characters of the whole trimmed text, by size and then by start."""
-    def tokens(text: Column) -> Stream:
-        t = F.trim(text)
-        sizes = [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), _from(t, n))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
-        return stream(F.concat(*sizes))
+    """All grams of low .. high characters of the whole text, by start and then by size."""
+    if not 1 <= low <= high:
+        raise ValueError("1 <= low <= high")
+    return lambda text: stream(_grams(text, low, high))
+
+
+def edge_ngram(low: int = 1, high: int = 1, side: str = "front") -> Callable[[Column], Stream]:
+    """Prefixes, or suffixes at side "back", of low .. high characters of the whole text."""
+    return lambda text: stream(_edges(text, low, high, side))
+
+
+def _edges(t: Column, low: int, high: int, side: str) -> Column:
+    if side not in ("front", "back"):
+        raise ValueError("side is front or back")
+    cut = F.left if side == "front" else F.right
+    return F.filter(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.when(F.length(t) >= n, cut(t, n))), lambda x: x.isNotNull())
 
-    return tokens
 
+def numeric_tokens(step: int = 4) -> Callable[[Column], Stream]:
+    """A whole number as terms of every precision, the full one first, all at one position; null has none."""
+    from tesserae.functions.codecs import trie_terms
 
-def edge_ngram(low: int = 1, high: int = 1) -> Callable[[Column], Stream]:
-    """Prefixes of low .. high characters of the whole trimmed text."""
-    def tokens(text: Column) -> Stream:
-        t = F.trim(text)
-        return stream(F.filter(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.when(F.length(t) >= n, F.left(t, n))), lambda x: x.isNotNull()))
+    def tokens(x: Column) -> Stream:
+        terms = F.when(x.try_cast("long").isNull(), F.array().cast("array<string>")).otherwise(trie_terms(x.try_cast("long"), step))
+        return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(0).alias("pos")))
 
     return tokens
 
@@ -190,23 +211,32 @@ def elision(articles: Iterable[str] = ("l", "m", "t", "qu", "n", "s", "j")) -> F
     return map_terms(lambda t: F.regexp_replace(t, pattern, ""))
 
 
+def _from(t: Column, n: int) -> Callable[[Column], Column]:
+    return lambda i: F.substring(t, i, F.lit(n))
+
+
 def ngram_filter(low: int = 1, high: int = 2, preserve: bool = False) -> Filter:
     """Grams of each token at its position, by size and then by start; tokens outside low .. high stay if preserved."""
     def grams(x: Column) -> Column:
         t = x["term"]
         sized = [F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1))), _from(t, n))).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)]
         own = F.concat(*sized, F.when(F.lit(preserve) & ((F.length(t) < low) | (F.length(t) > high)), F.array(t)).otherwise(F.array().cast("array<string>")))
-        return F.transform(own, lambda g: F.struct(g.alias("term"), x["pos"].alias("pos")))
+        return _at(own, x["pos"])
 
     return lambda s: F.flatten(F.transform(s, grams))
 
 
-def edge_ngram_filter(low: int = 1, high: int = 1, preserve: bool = False) -> Filter:
+def _at(terms: Column, pos: Column) -> Stream:
+    """Terms at one position; a lambda that read the position from around it could not go to a Python step."""
+    return F.arrays_zip(terms.alias("term"), F.array_repeat(pos, F.size(terms)).alias("pos"))
+
+
+def edge_ngram_filter(low: int = 1, high: int = 1, preserve: bool = False, side: str = "front") -> Filter:
     def grams(x: Column) -> Column:
         t = x["term"]
-        own = F.filter(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda n: F.when(F.length(t) >= n, F.left(t, n))), lambda g: g.isNotNull())
+        own = _edges(t, low, high, side)
         extra = F.when(F.lit(preserve) & ((F.length(t) < low) | (F.length(t) > high)), F.array(t)).otherwise(F.array().cast("array<string>"))
-        return F.transform(F.concat(own, extra), lambda g: F.struct(g.alias("term"), x["pos"].alias("pos")))
+        return _at(F.concat(own, extra), x["pos"])
 
     return lambda s: F.flatten(F.transform(s, grams))
 
@@ -242,6 +272,41 @@ def fold(term: Column) -> Column:
 ascii_folding = map_terms(fold)
 
 
+def fold_latin1(term: Column) -> Column:
+    """Accented letters of Latin 1 and its ligatures without their accents; all others stay."""
+    one, to, many = fold_table()
+    kept = [(c, d) for c, d in zip(one, to) if c < "Ā"] + [("Ÿ", "Y")]
+    out = F.translate(term, *("".join(x) for x in zip(*kept)))
+    for c, d in many.items():
+        if c in "ÆæÞþßŒœĲĳﬀﬁﬂ":
+            out = F.replace(out, F.lit(c), F.lit(d))
+    return out
+
+
+latin1_folding = map_terms(fold_latin1)
+
+
+def tee(s: Stream, *sinks: Callable[[Column], Column]) -> list[Stream]:
+    """The stream, and for each sink the tokens that it accepts; the tokenizer's work is done once for all."""
+    return [s, *[F.filter(s, accept) for accept in sinks]]
+
+
+def word_list(lines: Iterable[str], comment: str | None = None) -> list[str]:
+    """Words of a list of one word a line, trimmed; empty lines, and lines that begin with ``comment``, count nothing."""
+    words = (x.strip() for x in lines)
+    return [w for w in words if w and not (comment and w.startswith(comment))]
+
+
+def stem_dictionary(lines: Iterable[str]) -> dict[str, str]:
+    """Word and stem of each line, with a tab between them."""
+    return dict(x.split("\t", 1) for x in word_list(lines) if "\t" in x)
+
+
+def read_words(spark, path: str, comment: str | None = None) -> list[str]:
+    """A word list from a text file on any filesystem of the session; meant for lists that a driver holds."""
+    return word_list((r["value"] for r in spark.read.text(path).toLocalIterator()), comment)
+
+
 def char_map(table: dict[str, str]) -> Callable[[Column], Column]:
     """A text with the longest key at each place replaced, left to right, without reading replacements again."""
     def apply(text: Column) -> Column:
@@ -258,6 +323,7 @@ def char_map(table: dict[str, str]) -> Callable[[Column], Column]:
 
 GREEK_FROM = "ΆΈΉΊΌΎΏάέήίόύώϊϋΐΰςΪΫ"
 GREEK_TO = "αεηιουωαεηιουωιυιυσιυ"
+russian_lower = lower
 greek_lower = map_terms(lambda t: F.lower(F.translate(t, GREEK_FROM, GREEK_TO)))
 # tatweel and the short vowel signs go; forms of alef, yeh and teh marbuta fold
 arabic_normalize = map_terms(lambda t: F.translate(t, "آأإىةـًٌٍَُِّْ", "ااايه"))
@@ -364,6 +430,18 @@ def chinese_analyzer(words: Iterable[str] = ENGLISH_STOP_WORDS) -> Analyzer:
     return Analyzer(chinese, (stop(words), alone))
 
 
+def ngram_analyzer(low: int = 1, high: int = 2) -> Analyzer:
+    return Analyzer(ngram(low, high))
+
+
+def edge_ngram_analyzer(low: int = 1, high: int = 1, side: str = "front") -> Analyzer:
+    return Analyzer(edge_ngram(low, high, side))
+
+
+def numeric(step: int = 4) -> Analyzer:
+    return Analyzer(numeric_tokens(step))
+
+
 WHITESPACE, SIMPLE, KEYWORD = Analyzer(whitespace), Analyzer(lowercase_letter), Analyzer(keyword)
 
 

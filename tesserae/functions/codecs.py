@@ -63,6 +63,48 @@ def trie_terms(x: Column, step: int = 4) -> Column:
     return F.array(*[prefix_coded(x, s) for s in range(0, 64, step)])
 
 
+def sortable_long(x: Column) -> Column:
+    """A double as a long of the same order; -0.0 and 0.0 are told apart, and a NaN is above all."""
+    bits = _ieee(x)
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
+
+
+def _ieee(x: Column) -> Column:
+    """The bits of a double as a long, by its sign, exponent and mantissa."""
+    size = F.abs(x)
+    # the exponent by log2 may be one off next to a power of two
+    guess = F.floor(F.log2(size))
+    e = F.greatest(guess + F.when(F.pow(F.lit(2.0), guess + 1) <= size, 1).when(F.pow(F.lit(2.0), guess) > size, -1).otherwise(0), F.lit(-1022))
+    # in two steps, since 2 ** 1074 is no double
+    scaled = size * F.pow(F.lit(2.0), F.floor((52 - e) / 2)) * F.pow(F.lit(2.0), 52 - e - F.floor((52 - e) / 2))
+    whole = scaled.cast("long") + F.when(size >= F.lit(2.0**-1022), F.shiftleft((e + 1022).cast("long"), 52)).otherwise(F.lit(0).cast("long"))
+    bits = F.when(size == 0, F.lit(0).cast("long")).when(F.isnan(x), F.lit(0x7FF8 << 48)).when(size == float("inf"), F.lit(0x7FF0 << 48)).otherwise(whole)
+    negative = (x < 0) | (x.cast("string") == "-0.0")
+    return F.when(negative, bits.bitwiseOR(F.lit(-(1 << 63)))).otherwise(bits)
+
+
+def covering(low: int, high: int, step: int = 4, bits: int = 64) -> list[tuple[int, int, int]]:
+    """(shift, first, last): the fewest ranges of prefixes, of precisions ``step`` bits apart, that make up low .. high; not negative."""
+    out, shift = [], 0
+    while low <= high:
+        first, last = -(-low >> step), (high + 1 >> step) - 1  # whole blocks of the next precision
+        if first > last or shift + step >= bits:
+            return [*out, (shift, low, high)]
+        if low < first << step:
+            out.append((shift, low, (first << step) - 1))
+        if last + 1 << step <= high:
+            out.append((shift, last + 1 << step, high))
+        low, high, shift = first, last, shift + step
+    return out
+
+
+def trie_range(low: int | None, high: int | None, step: int = 4) -> list[tuple[str, str]]:
+    """(first, last) terms of ``prefix_coded`` whose ranges make up the longs low .. high, ends included."""
+    flip = 1 << 63
+    a, b = -flip if low is None else max(low, -flip), flip - 1 if high is None else min(high, flip - 1)
+    return [(f"{s:02x}:{x:016X}", f"{s:02x}:{y:016X}") for s, x, y in covering(a + flip, b + flip, step)] if a <= b else []
+
+
 def edit_distance(a: Column, b: Column, most: int | None = None) -> Column:
     """Levenshtein distance; beyond ``most`` null."""
     if most is None:

@@ -44,7 +44,8 @@ class Similarity:
         return F.lit(1.0) / (distance + 1)
 
     def payload_score(self, payload: Column) -> Column:
-        return F.lit(1.0)
+        """What a token's payload counts in payload queries."""
+        return payload
 
 
 def decoded_norm(x: Column) -> Column:

@@ -86,6 +86,21 @@ def all_of(*queries: Query, **kw: Any) -> Boolean:
     return Boolean(tuple(Clause(MUST, q) for q in queries), **kw)
 
 
+def combined(queries: list[Query]) -> Query:
+    """One query that matches what any of these does: clauses of plain disjunctions are taken apart, repeats count once."""
+    parts: dict[Query, None] = {}
+    for q in queries:
+        plain = isinstance(q, Boolean) and q.disable_coord and not q.min_should and q.boost == 1.0 and all(c.occur == SHOULD for c in q.clauses)
+        parts |= dict.fromkeys(c.query for c in q.clauses) if plain else {q: None}
+    return next(iter(parts)) if len(parts) == 1 else any_of(*parts, disable_coord=True)
+
+
+def merged(queries: list[Boolean]) -> Boolean:
+    """The distinct clauses of several Boolean queries in one; the first tells whether it is coordinated."""
+    clauses = dict.fromkeys(c for q in queries for c in q.clauses)
+    return Boolean(tuple(clauses), disable_coord=bool(queries) and queries[0].disable_coord)
+
+
 @dataclass(frozen=True)
 class DisMax(Query):
     disjuncts: tuple[Query, ...]
@@ -192,6 +207,8 @@ class TermSet(Query):
     field: str
     weights: tuple[tuple[str, float], ...]
     boost: float = 1.0
+    #: Document frequencies of the terms in order, where the expansion knows them.
+    dfs: tuple[int, ...] | None = None
 
     def text(self, default: str = "") -> str:
         return " ".join(f"{named(self.field, default)}{t}{_boost(b)}" for t, b in self.weights)

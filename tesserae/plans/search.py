@@ -22,6 +22,7 @@ from typing import Any, Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.functions.codecs import trie_range
 from tesserae.functions.similarity import Similarity
 from tesserae.operators import positions as P
 from tesserae.plans import ast as A
@@ -61,8 +62,26 @@ def payload_slot(i: int) -> str:
     return f"__l{i}"
 
 
-def _payloads(tokens: Column, payload: Callable[[Column], Column]) -> Column:
-    return F.transform(tokens, lambda t: payload(t).cast("double"))
+def _payloads(tokens: Column, payload: Callable[[Column], Column], sim: Similarity) -> Column:
+    return F.transform(tokens, lambda t: sim.payload_score(payload(t).cast("double")).cast("double"))
+
+
+def in_terms(docs: DataFrame, tokens: str, entry: Callable[[Column, Column], Column]) -> DataFrame:
+    """``docs`` with column ``__e``: an entry of (term, its tokens in order) for each distinct term of a row's token column.
+
+    A document's tokens stand in one row, so they are grouped there, and no row is shuffled.
+    """
+    none = F.array().cast("array<int>")
+    rows = docs.withColumn("__sorted", F.sort_array(tokens))
+    term = lambda i: F.element_at("__sorted", i)["term"]
+    starts = F.when(F.size("__sorted") > 0, F.filter(F.sequence(F.lit(1), F.size("__sorted")), lambda i: F.when(i == 1, True).otherwise(term(i) != term(i - 1)))).otherwise(none)
+    rows = rows.withColumn("__starts", starts)
+
+    def one(i: Column, k: Column) -> Column:
+        n = F.coalesce(F.get("__starts", k + 1), F.size("__sorted") + 1) - i
+        return entry(term(i), F.slice("__sorted", i, n))
+
+    return rows.withColumn("__e", F.transform("__starts", one)).drop("__sorted", "__starts")
 
 
 def norm_name(f: str) -> str:
@@ -94,7 +113,7 @@ class ScanView:
             found = F.filter(f"__t_{x.field}", _test(x))
             kept.append((F.transform(found, lambda t: t["term"]) if x.terms else F.transform(found, lambda t: t["pos"]).cast(POSITIONS)).alias(slot(i)))
             if (payload := self.schema.fields[x.field].payload) is not None:
-                kept.append(_payloads(found, payload).alias(payload_slot(i)))
+                kept.append(_payloads(found, payload, sim).alias(payload_slot(i)))
         norms = [self._norm(f, F.size(f"__t_{f}"), sim).alias(norm_name(f)) for f in sorted(norm_fields)]
         # Catalyst would push a test of the leaves below their projection, and so analyze every text once more per
         # leaf, ahead of any exchange; it pushes nothing below a projection with a nondeterministic column.  Without
@@ -112,14 +131,18 @@ class ScanView:
         return [counts[slot(i)] for i in range(len(leaves))], counts["n"]
 
     def postings(self, f: str) -> DataFrame:
-        """(term, doc, tf, positions) of a field."""
-        t = self.docs.select(F.col(self.schema.id_col).alias(DOC), F.explode(self._stream(f)).alias("t"))
-        return t.groupBy(F.col("t.term").alias("term"), DOC).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("t.pos")).alias("positions"))
+        """(term, doc, tf, positions) of a field: a narrow plan."""
+        tokens = F.transform(self._stream(f), lambda t: F.struct(t["term"].alias("term"), t["pos"].alias("pos")))
+        rows = self.docs.select(F.col(self.schema.id_col).alias(DOC), tokens.alias("__s"))
+        entry = lambda term, own: F.struct(term.alias("term"), F.size(own).cast("long").alias("tf"), F.transform(own, lambda t: t["pos"]).alias("positions"))
+        return in_terms(rows, "__s", entry).select(DOC, F.explode("__e").alias("e")).select("e.term", DOC, "e.tf", "e.positions")
 
     def dictionary(self, f: str) -> DataFrame:
-        """(term, df, cf) of a field; one row per document and term leaves each task."""
-        per_doc = self.docs.select(F.explode(F.transform(self._stream(f), lambda t: t["term"])).alias("term"), F.col(self.schema.id_col).alias(DOC)).groupBy("term", DOC).agg(F.count("*").alias("tf"))
-        return per_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+        """(term, df, cf) of a field; a row's first occurrence of each term is marked, so one aggregation counts both."""
+        rows = self.docs.select(F.array_sort(F.transform(self._stream(f), lambda t: t["term"])).alias("__ts"))
+        marked = F.transform("__ts", lambda t, i: F.struct(t.alias("term"), F.when(i == 0, True).otherwise(F.get("__ts", i - 1) != t).cast("long").alias("first")))
+        tokens = rows.select(F.explode(marked).alias("x"))
+        return tokens.groupBy(F.col("x.term").alias("term")).agg(F.sum("x.first").alias("df"), F.count("*").alias("cf"))
 
 
 # --- multi-term expansion ----------------------------------------------------------------------
@@ -152,15 +175,15 @@ def term_predicate(q: A.MultiTerm) -> Callable[[Column], Column]:
     raise TypeError(q)
 
 
-def fuzzy_matches(view: View, q: A.Fuzzy) -> list[tuple[str, float]]:
-    """(term, similarity) of the dictionary's best matches, at most as many as a Boolean query holds.
+def fuzzy_matches(view: View, q: A.Fuzzy) -> list[tuple[str, float, int]]:
+    """(term, similarity, document frequency) of the dictionary's best matches, at most as many as a Boolean query holds.
 
     similarity = 1 - distance / (prefix + shorter rest); the rests' edit
     distance is bounded, so longer or shorter terms are pruned by length.
     """
     prefix, rest = q.term[: q.prefix_length], q.term[q.prefix_length :]
     n, p = len(rest), len(prefix)
-    t = view.dictionary(q.field).select("term")
+    t = view.dictionary(q.field).select("term", "df")
     other = F.substring("term", p + 1, 1 << 30)
     shorter = F.least(F.length(other), F.lit(n))
     most = F.floor((1 - q.min_similarity) * (shorter + p)).cast("int")
@@ -169,7 +192,11 @@ def fuzzy_matches(view: View, q: A.Fuzzy) -> list[tuple[str, float]]:
     # one side empty: nothing to compare by
     t = t.withColumn("sim", F.when(F.col("base") > 0, 1 - F.col("d") / F.col("base")).otherwise(F.when(F.col("d") == 0, 1.0).otherwise(0.0)))
     best = t.where(F.col("sim") > q.min_similarity).orderBy(F.desc("sim"), "term").limit(A.MAX_CLAUSES)
-    return [(r["term"], r["sim"]) for r in best.select("term", "sim").collect()]
+    return [(r["term"], r["sim"], r["df"]) for r in best.select("term", "sim", "df").collect()]
+
+
+#: An automatic rewrite looks terms up one by one up to so many, and up to this share of the documents.
+AUTO_TERMS, AUTO_SHARE = 350, 0.001
 
 
 def expand(q: Any, view: View) -> Any:
@@ -189,13 +216,24 @@ def expand(q: Any, view: View) -> Any:
         if len(q.term) <= 1 / (1 - q.min_similarity):
             return A.Term(q.field, q.term)
         scale = 1 / (1 - q.min_similarity)
-        return A.TermSet(q.field, tuple((t, q.boost * (s - q.min_similarity) * scale) for t, s in fuzzy_matches(view, q)))
+        found = fuzzy_matches(view, q)
+        return A.TermSet(q.field, tuple((t, q.boost * (s - q.min_similarity) * scale) for t, s, _ in found), dfs=tuple(n for _, _, n in found))
     if isinstance(q, A.MultiTerm) and q.rewrite == "scoring":
         test = term_predicate(q)
-        terms = [r["term"] for r in view.dictionary(q.field).where(test(F.col("term"))).select("term").orderBy("term").limit(A.MAX_CLAUSES + 1).collect()]
-        if len(terms) > A.MAX_CLAUSES:
+        found = view.dictionary(q.field).where(test(F.col("term"))).select("term", "df").orderBy("term").limit(A.MAX_CLAUSES + 1).collect()
+        if len(found) > A.MAX_CLAUSES:
             raise A.TooManyClauses(f"{q} matches more than {A.MAX_CLAUSES} terms")
-        return A.TermSet(q.field, tuple((t, q.boost) for t in terms))
+        return A.TermSet(q.field, tuple((r["term"], q.boost) for r in found), dfs=tuple(r["df"] for r in found))
+    if isinstance(q, A.MultiTerm) and q.rewrite == "auto":
+        # few terms and few documents are looked up one by one, which an index does by its sorted files; else a filter
+        test = term_predicate(q)
+        found = view.dictionary(q.field).where(test(F.col("term"))).select("term", "df").limit(AUTO_TERMS + 1).collect()
+        if len(found) <= AUTO_TERMS and sum(r["df"] for r in found) <= AUTO_SHARE * view.doc_freqs([], Similarity())[1]:
+            own = sorted(r["term"] for r in found)
+            return A.ConstantScore(A.TermSet(q.field, tuple((t, 1.0) for t in own), dfs=(0,) * len(own)), q.boost)
+        return replace(q, rewrite="constant")
+    if isinstance(q, A.MultiTerm) and q.rewrite == "filter":
+        return replace(q, rewrite="constant")
     return q
 
 
@@ -221,9 +259,11 @@ class DocSet:
 class Compiler:
     """Binds a query to a view: leaves, statistics, weights, then expressions."""
 
-    def __init__(self, view: View, query: A.Query, sim: Similarity | None = None):
+    def __init__(self, view: View, query: A.Query, sim: Similarity | None = None, *more: A.Query):
+        """``more`` queries share the rows, and so the analysis, of the first; ``self.queries`` holds all."""
         self.view, self.sim = view, sim or Similarity()
-        self.query = expand(A.simplify(query), view)
+        self.queries = [expand(A.simplify(q), view) for q in (query, *more)]
+        self.query = self.queries[0]
         self.leaves: dict[Leaf, int] = {}
         self.norm_fields: set[str] = set()
         self.columns: set[str] = set()
@@ -231,7 +271,8 @@ class Compiler:
         self.all_docs = False
         self.steps: list[tuple[str, Column]] = []
         self.set_df: dict[tuple[str, str], int] = {}
-        self._gather(self.query)
+        for q in self.queries:
+            self._gather(q)
         # a term's weight needs its document frequency; predicates have a constant score
         self.counted = [x for x in self.leaves if x.pred is None]
         df, self.max_doc = view.doc_freqs(self.counted, self.sim)
@@ -244,6 +285,11 @@ class Compiler:
     def _norm(self, f: str) -> None:
         self.norm_fields.add(f)
 
+    def _trie(self, q: A.NumericRange) -> int | None:
+        """The step of a numeric field's terms, where the range is one over them."""
+        spec = self.view.schema.fields.get(q.field)
+        return spec.trie_step if spec else None
+
     def _gather(self, q: Any) -> None:
         if isinstance(q, A.Term):
             self._leaf(Leaf(q.field, q.term))
@@ -261,6 +307,9 @@ class Compiler:
             self._leaf(self._set(q))
             self._norm(q.field)
             own = [w for w, _ in q.weights]
+            if q.dfs is not None:
+                self.set_df |= {(q.field, t): n for t, n in zip(own, q.dfs)}
+                return
             rows = self.view.dictionary(q.field).where(F.col("term").isin(own)).select("term", "df").collect() if own else []  # at most MAX_CLAUSES
             self.set_df |= {(q.field, r["term"]): r["df"] for r in rows}
         elif isinstance(q, A.MultiTerm):
@@ -271,6 +320,8 @@ class Compiler:
         elif isinstance(q, A.DisMax):
             for d in q.disjuncts:
                 self._gather(d)
+        elif isinstance(q, A.NumericRange) and self._trie(q):
+            self._leaf(trie_leaf(q, self._trie(q)))
         elif isinstance(q, A.NumericRange):
             self.columns.add(q.field)
             self.all_docs = True
@@ -407,6 +458,8 @@ class Compiler:
             return Hit(F.size(m) > 0, score * self.norm_of(q.field))
         if isinstance(q, A.MultiTerm):
             return Hit(F.size(slot(self.leaves[self._predicate(q)])) > 0, F.lit(norm * q.boost))
+        if isinstance(q, A.NumericRange) and self._trie(q):
+            return Hit(F.size(slot(self.leaves[trie_leaf(q, self._trie(q))])) > 0, F.lit(norm * q.boost))
         if isinstance(q, A.NumericRange):
             return Hit(numeric_test(F.col(f"__c_{q.field}"), q), F.lit(norm * q.boost))
         if isinstance(q, A.MatchAll):
@@ -503,18 +556,20 @@ class Compiler:
             return self.spans(q.clauses[0])
         return P.near(q.slop, q.in_order)(*[self.spans(c) for c in q.clauses])
 
-    def payload_score(self, q: A.Payload) -> Column:
-        """avg, min or max of the payloads under a query's spans; 1 without any."""
-        spans = self._held(self.spans(q.query))
-        parts = []
-        for f, t in self._span_leaves(q.query):
+    def payload_values(self, q: A.Span) -> tuple[Column, Column]:
+        """The payloads under a query's spans, and the spans."""
+        spans = self._held(self.spans(q))
+        parts = [F.array().cast("array<double>")]
+        for f, t in dict.fromkeys(self._span_leaves(q)):
             i = self.leaves[Leaf(f, t)]
             if self.view.schema.fields[f].payload is not None:
                 under = F.filter(F.arrays_zip(F.col(slot(i)).alias("p"), F.col(payload_slot(i)).alias("v")), lambda x: F.exists(spans, lambda s: (s["s"] <= x["p"]) & (x["p"] < s["e"])))
                 parts.append(F.transform(under, lambda x: x["v"]))
-        if not parts:
-            return F.lit(1.0)
-        values = F.concat(*parts)
+        return F.concat(*parts), spans
+
+    def payload_score(self, q: A.Payload) -> Column:
+        """avg, min or max of the payloads under a query's spans; 1 without any."""
+        values, _ = self.payload_values(q.query)
         total = F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
         found = {"avg": total / F.size(values), "min": F.array_min(values), "max": F.array_max(values)}[q.fn]
         return F.when(F.size(values) > 0, found).otherwise(F.lit(1.0))
@@ -533,7 +588,7 @@ class Compiler:
         for s, name in self.doc_sets.items():
             ids = s.frame.select(F.col(s.frame.columns[0]).alias("__id")).distinct().withColumn(name, F.lit(True))
             rows = rows.join(ids, F.col(DOC) == F.col("__id"), "left").drop("__id")
-        for source in self._sources(self.query):
+        for source in dict.fromkeys(s for q in self.queries for s in self._sources(q)):
             if source.kind != "value":
                 rows = with_ordinals(rows, source)
         for name, c in self.steps:
@@ -559,6 +614,17 @@ class Compiler:
         return out
 
 
+def trie_leaf(q: A.NumericRange, step: int) -> Leaf:
+    """Terms of the precisions that make up a range of whole numbers: runs of sorted terms, of any precision, a few dozen at most."""
+    from math import ceil, floor
+
+    low = None if q.low is None else (ceil(q.low) if q.include_low else floor(q.low) + 1)
+    high = None if q.high is None else (floor(q.high) if q.include_high else ceil(q.high) - 1)
+    runs = trie_range(low, high, step)
+    test = lambda t: reduce(lambda a, b: a | b, [t.between(F.lit(x), F.lit(y)) for x, y in runs], F.lit(False))
+    return Leaf(q.field, None, f"numbers {low} {high}", test)
+
+
 def matching(rows: DataFrame, match: Column) -> DataFrame:
     return rows.where(match & (F.col(HERE) >= 0)) if HERE in rows.columns else rows.where(match)
 
@@ -652,11 +718,11 @@ class Searcher:
     sim: Similarity = field(default_factory=Similarity)
     digits: int = 6
 
-    def hits(self, query: A.Query, filter: Any = None, columns: Iterable[str] = ()) -> DataFrame:
-        """All hits, unranked: (doc_id, score, columns), scores rounded so that ties are ties on any cluster."""
+    def hits(self, query: A.Query, filter: Any = None, columns: Iterable[str] = (), positive: bool = False) -> DataFrame:
+        """All hits, unranked: (doc_id, score, columns), scores rounded so that ties are ties on any cluster; ``positive`` leaves out scores of 0 and less."""
         q = A.Filtered(query, filter) if filter is not None else query
-        found = Compiler(self.view, q, self.sim).hits(set(columns))
-        return found.withColumn("score", F.round("score", self.digits))
+        found = Compiler(self.view, q, self.sim).hits(set(columns)).withColumn("score", F.round("score", self.digits))
+        return found.where("score > 0") if positive else found
 
     def search(self, query: A.Query, n: int, filter: Any = None, sort: Iterable[SortField] = (SCORE,), offset: int = 0, columns: Iterable[str] = ()) -> DataFrame:
         """The best n hits; ties go to the smaller id."""
@@ -669,6 +735,13 @@ class Searcher:
         ranked = ranked.offset(offset) if offset else ranked
         return ranked.limit(n).select(id_col, "score", *columns)
 
+    def payloads(self, query: A.Span) -> DataFrame:
+        """(doc_id, payloads array<double>): the payloads under a span query's spans, of each document that has any span."""
+        c = Compiler(self.view, query, self.sim)
+        c.hit(c.query, 1.0)
+        values, spans = c.payload_values(c.query)
+        return matching(c.frame(), F.size(spans) > 0).select(F.col(DOC).alias(self.view.schema.id_col), values.alias("payloads"))
+
     def totals(self, query: A.Query, filter: Any = None) -> DataFrame:
         """One row: total_hits and max_score."""
         return self.hits(query, filter).agg(F.count("*").alias("total_hits"), F.max("score").alias("max_score"))

@@ -5,12 +5,17 @@ its postings, range-partitioned and sorted by (field, term), so a term's rows
 lie in few row groups.  ``path/commits/n.json`` names the segments and deletes
 of version n with user data; a commit appears by a rename, so readers see whole
 versions.  A delete is a row (id, limit): it hides the id in segments numbered
-below the limit, so documents added later survive.
+below the limit, so documents added later survive.  A set norm is a row too.
+
+Segments are merged level by level: as soon as ``merge_factor`` segments stand on
+one level of size, they become one of the next.  A writer holds the index's lock.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -19,9 +24,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.functions.similarity import Similarity
+from tesserae.functions.similarity import Similarity, decoded_norm
 from tesserae.plans import ast as A
-from tesserae.plans.search import DOC, POSITIONS, Compiler, Leaf, ScanView, norm_name, slot
+from tesserae.plans.search import DOC, POSITIONS, Compiler, Leaf, ScanView, in_terms, norm_name, payload_slot, slot
 from tesserae.schema import Schema
 
 
@@ -68,6 +73,54 @@ class Files:
     def delete(self, name: str) -> None:
         self.fs.delete(self.path_of(f"{self.root}/{name}"), True)
 
+    def create_new(self, name: str) -> bool:
+        """An empty file; false if it is there already."""
+        try:
+            return bool(self.fs.createNewFile(self.path_of(f"{self.root}/{name}")))
+        except Exception as e:  # some filesystems raise where others say no
+            if "exist" in str(e).lower():
+                return False
+            raise
+
+
+class LockTaken(RuntimeError):
+    pass
+
+
+class Lock:
+    """A file that one holder at a time can create; ``wait`` seconds are spent on getting it."""
+
+    def __init__(self, files: Files, name: str = "write.lock", wait: float = 1.0, poll: float = 0.1):
+        self.files, self.name, self.wait, self.poll, self.held = files, name, wait, poll, False
+
+    def obtain(self) -> None:
+        until = time.monotonic() + self.wait
+        while not self.files.create_new(self.name):
+            if time.monotonic() >= until:
+                raise LockTaken(f"{self.files.root}/{self.name} is held by another writer")
+            time.sleep(self.poll)
+        self.held = True
+
+    def release(self) -> None:
+        if self.held:
+            self.files.delete(self.name)
+            self.held = False
+
+    def is_locked(self) -> bool:
+        return self.files.fs.exists(self.files.path_of(f"{self.files.root}/{self.name}"))
+
+    def __enter__(self) -> Lock:
+        self.obtain()
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
+
+def unlock(spark: SparkSession, path: str) -> None:
+    """Removes the lock that a writer left behind which ended without ``close``."""
+    Files(spark, path).delete("write.lock")
+
 
 @dataclass
 class Commit:
@@ -76,6 +129,11 @@ class Commit:
     deletes: list[str] = field(default_factory=list)
     next_segment: int = 0
     user_data: dict[str, str] = field(default_factory=dict)
+    sizes: dict[str, int] = field(default_factory=dict)  # documents of each segment, deleted ones too
+    norms: list[str] = field(default_factory=list)
+
+    def copy(self) -> Commit:
+        return Commit(self.version, list(self.segments), list(self.deletes), self.next_segment, dict(self.user_data), dict(self.sizes), list(self.norms))
 
 
 def commits(spark: SparkSession, path: str) -> list[int]:
@@ -94,47 +152,71 @@ class IndexWriter:
     """Adds, updates and deletes documents; nothing shows before ``commit``.
 
     ``keep`` commits stay readable (1: only the last); ``hold`` keeps one until
-    ``release``.
+    ``release``.  With ``lock`` the writer holds the index until ``close``, and a
+    second one raises LockTaken.  ``merge_factor`` segments of one level of size
+    are merged when they are committed; None merges only when asked.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: Schema, create: bool = False, keep: int = 1):
+    def __init__(self, spark: SparkSession, path: str, schema: Schema, create: bool = False, keep: int = 1, lock: bool = False, merge_factor: int | None = None, merge_least: int = 1000):
         self.spark, self.path, self.schema, self.keep = spark, path, schema, keep
+        self.merge_factor, self.merge_least = merge_factor, merge_least
         self.files = Files(spark, path)
+        self.lock = Lock(self.files)
+        if lock:
+            self.lock.obtain()
         known = commits(spark, path)
         self.base = read_commit(spark, path) if known else Commit(0)
         self.held: set[int] = set()
-        self.now = Commit(self.base.version) if create else Commit(**vars(self.base))
-        self.now.segments, self.now.deletes = list(self.now.segments), list(self.now.deletes)
+        self.now = Commit(self.base.version) if create else self.base.copy()
         self.now.next_segment = self.base.next_segment
 
+    def close(self) -> None:
+        self.lock.release()
+
     def _table(self, folder: str, df: DataFrame) -> str:
         name = f"{folder}-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{folder}/{name}")
         return name
 
     def add(self, docs: DataFrame) -> None:
-        """A new segment of documents with distinct ids."""
+        """A new segment of documents with distinct ids.
+
+        A document's postings are made within its row; what is shuffled is one
+        range exchange of the finished postings.
+        """
         n = self.now.next_segment
         view = ScanView(docs, self.schema)
         fields = sorted(self.schema.fields)
-        streams = [view._stream(f).alias(f"__t_{f}") for f in fields]
-        analyzed = docs.select("*", *streams)
-        lengths = [F.size(f"__t_{f}").alias(f"__len_{f}") for f in fields]
         name = f"{n:06d}-{uuid.uuid4().hex}"
-        analyzed.select(*docs.columns, *lengths).write.parquet(f"{self.path}/segments/{name}/docs")
+        lengths = [F.size(view._stream(f)).alias(f"__len_{f}") for f in fields]
+        docs.select(*docs.columns, *lengths).write.parquet(f"{self.path}/segments/{name}/docs")
         boost = F.col(self.schema.boost_col).cast("double") if self.schema.boost_col else F.lit(1.0)
-        parts = []
+        rows = docs.select(F.col(self.schema.id_col).alias("doc"), boost.alias("boost"), *[self._tokens(view, f).alias(f"__t_{f}") for f in fields])
+        entries = []
         for f in fields:
-            t = analyzed.select(F.col(self.schema.id_col).alias("doc"), F.size(f"__t_{f}").alias("len"), boost.alias("boost"), F.explode(f"__t_{f}").alias("t"))
-            # a document's tokens stand in one row, so their grouping needs no rows of other tasks beyond the partial sums
-            g = t.groupBy(F.lit(f).alias("field"), F.col("t.term").alias("term"), "doc").agg(F.first("len").alias("len"), F.first("boost").alias("boost"), F.count("*").alias("tf"), F.sort_array(F.collect_list("t.pos")).alias("positions"))
-            parts.append(g)
+            rows = in_terms(rows, f"__t_{f}", self._entry(f)).withColumnRenamed("__e", f"__e_{f}")
+            entries.append(F.transform(f"__e_{f}", self._named(f, f"__t_{f}")))
+        postings = rows.select("doc", "boost", F.explode(F.concat(*entries)).alias("x")).select("x.field", "x.term", "doc", "x.len", "boost", "x.tf", "x.positions", "x.payloads")
         n_parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        postings = reduce(DataFrame.unionByName, parts).repartitionByRange(n_parts, "field", "term", "doc").sortWithinPartitions("field", "term", "doc")
-        postings.write.parquet(f"{self.path}/segments/{name}/postings")
+        postings.repartitionByRange(n_parts, "field", "term", "doc").sortWithinPartitions("field", "term", "doc").write.parquet(f"{self.path}/segments/{name}/postings")
         self.now.segments.append(name)
+        self.now.sizes[name] = self.spark.read.parquet(f"{self.path}/segments/{name}/docs").count()  # from the files' footers
         self.now.next_segment = n + 1
 
+    def _tokens(self, view: ScanView, f: str) -> Column:
+        payload = self.schema.fields[f].payload
+        value = (lambda t: payload(t).cast("double")) if payload else (lambda t: F.lit(None).cast("double"))
+        return F.transform(view._stream(f), lambda t: F.struct(t["term"].alias("term"), t["pos"].alias("pos"), value(t).alias("payload")))
+
+    def _entry(self, f: str) -> Callable[[Column, Column], Column]:
+        paid = self.schema.fields[f].payload is not None
+        none = F.lit(None).cast("array<double>")
+        return lambda term, own: F.struct(term.alias("term"), F.size(own).cast("long").alias("tf"), F.transform(own, lambda t: t["pos"]).alias("positions"), (F.transform(own, lambda t: t["payload"]) if paid else none).alias("payloads"))
+
+    @staticmethod
+    def _named(f: str, tokens: str) -> Callable[[Column], Column]:
+        return lambda e: F.struct(F.lit(f).alias("field"), e["term"].alias("term"), F.size(tokens).alias("len"), e["tf"].alias("tf"), e["positions"].alias("positions"), e["payloads"].alias("payloads"))
+
     def delete_ids(self, ids: DataFrame) -> None:
         rows = ids.select(F.col(ids.columns[0]).alias("id")).distinct().withColumn("below", F.lit(self.now.next_segment))
         self.now.deletes.append(self._table("deletes", rows))
@@ -152,40 +234,108 @@ class IndexWriter:
         self.add(docs)
 
     def delete_all(self) -> None:
-        self.now.segments, self.now.deletes = [], []
+        self.now.segments, self.now.deletes, self.now.sizes, self.now.norms = [], [], {}, []
+
+    def undelete_all(self) -> None:
+        """Documents that deletes hide, and that no merge has left out, show again."""
+        self.now.deletes = []
+
+    def set_norm(self, ids: DataFrame, field_name: str, value: float) -> None:
+        """The norm of a field of these documents from now on; it holds for the segments there are."""
+        rows = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
+        rows = rows.select("id", F.lit(field_name).alias("field"), decoded_norm(F.lit(float(value))).alias("norm"), F.lit(self.now.next_segment).alias("below"), F.lit(len(self.now.norms)).alias("no"))
+        self.now.norms.append(self._table("norms", rows))
 
     def add_indexes(self, *readers: IndexReader) -> None:
         """Other indexes' live documents, as segments of this one."""
         for r in readers:
             self.add(r.docs())
 
-    def optimize(self) -> None:
-        """One segment of the live documents; deletes are gone from it."""
-        if self.now.segments:
-            live = self.reader().docs()
-            held = f"{self.path}/rewrite/{uuid.uuid4().hex}"
-            live.write.parquet(held)
-            self.delete_all()
-            self.add(self.spark.read.parquet(held))
+    def _merge(self, segments: list[str]) -> None:
+        """These segments' live documents as one new segment; set norms end with the segments they were set in."""
+        part = IndexReader(self.spark, self.path, self.schema, self.now.copy())
+        part.commit.segments = list(segments)
+        held = f"{self.path}/rewrite/{uuid.uuid4().hex}"
+        part.docs().write.parquet(held)
+        self.now.segments = [s for s in self.now.segments if s not in segments]
+        self.now.sizes = {s: n for s, n in self.now.sizes.items() if s not in segments}
+        self.add(self.spark.read.parquet(held))
+        self.files.delete(held[len(self.path) + 1 :])
+
+    def optimize(self, max_segments: int = 1) -> None:
+        """At most so many segments: the smallest are merged; with one segment, deletes are gone from it."""
+        if max_segments < 1:
+            raise ValueError("max_segments must be 1 at least")
+        extra = len(self.now.segments) - max_segments
+        if extra > 0 or max_segments == 1 and self.now.segments and self.now.deletes:
+            by_size = sorted(self.now.segments, key=lambda s: (self.now.sizes.get(s, 0), s))
+            self._merge(by_size[: extra + 1])
+        if max_segments == 1:
+            self.now.deletes = []
+
+    def expunge_deletes(self) -> None:
+        """Segments with hidden documents are written anew without them; the others stay."""
+        if not self.now.deletes or not self.now.segments:
+            return
+        r = self.reader()
+        live = {x["__seg"]: x["n"] for x in r._live(r._all("docs"), self.schema.id_col).groupBy("__seg").agg(F.count("*").alias("n")).collect()}  # a row a segment
+        for s in list(self.now.segments):
+            n = live.get(int(s[:6]), 0)
+            if not n:
+                self.now.segments.remove(s)
+                self.now.sizes.pop(s, None)
+            elif n < self.now.sizes.get(s, n + 1):
+                self._merge([s])
+        self.now.deletes = []
+
+    def maybe_merge(self) -> bool:
+        """Merges as long as ``merge_factor`` segments stand on one level; sizes up to ``merge_least`` are one level."""
+        done = False
+        while self.merge_factor:
+            levels: dict[int, list[str]] = {}
+            for s in self.now.segments:
+                size = max(self.now.sizes.get(s, 1), self.merge_least)
+                levels.setdefault(math.floor(math.log(size / self.merge_least, self.merge_factor) + 1e-9), []).append(s)
+            full = [own for _, own in sorted(levels.items()) if len(own) >= self.merge_factor]
+            if not full:
+                return done
+            self._merge(full[0][: self.merge_factor])
+            done = True
+        return done
 
     def reader(self) -> IndexReader:
         """A view of what is committed and what is pending."""
-        return IndexReader(self.spark, self.path, self.schema, Commit(**vars(self.now)))
+        return IndexReader(self.spark, self.path, self.schema, self.now.copy())
 
     def prepare(self, user_data: dict[str, str] | None = None) -> Commit:
-        return Commit(self.base.version + 1, list(self.now.segments), list(self.now.deletes), self.now.next_segment, dict(user_data or self.now.user_data))
+        """Writes the next version beside the commits, where no reader sees it; ``commit`` shows it, ``rollback`` removes it."""
+        c = self.now.copy()
+        c.version = self.base.version + 1
+        c.user_data = dict(user_data or self.now.user_data)
+        self.files.delete(f"pending/{c.version:08d}.json")
+        self.files.write(f"pending/{c.version:08d}.json", json.dumps(vars(c)))
+        self.prepared = c
+        return c
+
+    prepared: Commit | None = None
 
     def commit(self, user_data: dict[str, str] | None = None) -> int:
-        c = self.prepare(user_data)
+        if self.prepared is None:
+            self.maybe_merge()
+            self.prepare(user_data)
+        c = self.prepared
         self.files.write(f"commits/{c.version:08d}.json", json.dumps(vars(c)))
-        self.base, self.now = c, Commit(c.version, list(c.segments), list(c.deletes), c.next_segment, dict(c.user_data))
+        self.files.delete(f"pending/{c.version:08d}.json")
+        self.prepared, self.base, self.now = None, c, c.copy()
         for v in commits(self.spark, self.path)[: -self.keep]:
             if v not in self.held:
                 self.files.delete(f"commits/{v:08d}.json")
         return c.version
 
     def rollback(self) -> None:
-        self.now = Commit(self.base.version, list(self.base.segments), list(self.base.deletes), self.base.next_segment, dict(self.base.user_data))
+        if self.prepared is not None:
+            self.files.delete(f"pending/{self.prepared.version:08d}.json")
+        self.prepared, self.now = None, self.base.copy()
 
     def hold(self) -> int:
         self.held.add(self.base.version)
@@ -233,9 +383,13 @@ class IndexReader:
         return d.select(*[c for c in d.columns if not c.startswith("__")])
 
     def max_doc(self) -> int:
+        if all(s in self.commit.sizes for s in self.commit.segments):
+            return sum(self.commit.sizes[s] for s in self.commit.segments)
         return self._all("docs").count()
 
     def num_docs(self) -> int:
+        if not self.commit.deletes and all(s in self.commit.sizes for s in self.commit.segments):
+            return sum(self.commit.sizes[s] for s in self.commit.segments)
         return self.docs().count()
 
     def postings(self, f: str) -> DataFrame:
@@ -244,6 +398,22 @@ class IndexReader:
     def dictionary(self, f: str) -> DataFrame:
         return self.postings(f).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
+    def _norms(self) -> DataFrame | None:
+        """(id, field, norm, below) that was set last."""
+        if not self.commit.norms:
+            return None
+        rows = reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.path}/norms/{n}") for n in self.commit.norms])
+        last = rows.groupBy("id", "field").agg(F.max(F.struct("no", "below", "norm")).alias("x"))
+        return last.select(F.col("id").alias("__nid"), F.col("field").alias("__nf"), F.col("x.below").alias("__nbelow"), F.col("x.norm").alias("__nset"))
+
+    def _with_set_norms(self, rows: DataFrame, fields: list[str]) -> DataFrame:
+        """Rows (DOC, __seg, norms) with set norms in place of those of the lengths; __seg goes."""
+        found = self._norms()
+        for f in fields if found is not None else ():
+            own = found.where(F.col("__nf") == f)
+            rows = rows.join(own, (F.col(DOC) == F.col("__nid")) & (F.col("__seg") < F.col("__nbelow")), "left").withColumn(norm_name(f), F.coalesce("__nset", norm_name(f))).drop("__nid", "__nf", "__nbelow", "__nset")
+        return rows.drop("__seg")
+
     def _found(self, leaves: list[Leaf]) -> DataFrame:
         """Postings of the leaves; the test of field and term reaches the sorted files."""
         tests = [(F.col("field") == x.field) & ((F.col("term") == x.term) if x.pred is None else x.pred(F.col("term"))) for x in leaves]
@@ -266,24 +436,58 @@ class IndexReader:
                 value = F.transform("positions", lambda _: F.col("term")) if x.terms else F.col("positions")
                 kind = "array<string>" if x.terms else POSITIONS
                 aggs.append(F.sort_array(F.flatten(F.collect_list(F.when(mine, value)))).cast(kind).alias(slot(i)))
+                if self.schema.fields[x.field].payload is not None:
+                    paid = F.arrays_zip(F.col("positions").alias("p"), F.col("payloads").alias("v"))
+                    aggs.append(F.transform(F.sort_array(F.flatten(F.collect_list(F.when(mine, paid)))), lambda y: sim.payload_score(y["v"]).cast("double")).alias(payload_slot(i)))
             norms = [F.max(F.when(F.col("field") == f, F.struct("len", "boost"))).alias(f"__l_{f}") for f in sorted(norm_fields)]
-            out = self._found(leaves).groupBy(F.col("doc").alias(DOC)).agg(*aggs, *norms)
+            out = self._found(leaves).groupBy(F.col("doc").alias(DOC)).agg(*aggs, *norms, F.max("__seg").alias("__seg"))  # a document lives in one segment
             for f in sorted(norm_fields):
                 spec = self.schema.fields[f]
                 out = out.withColumn(norm_name(f), sim.norm(F.col(f"__l_{f}.len"), F.col(f"__l_{f}.boost") * spec.boost) if spec.norms else F.lit(1.0)).drop(f"__l_{f}")
+        if out is not None:
+            out = self._with_set_norms(out, sorted(norm_fields))
         if not all_docs and not columns and out is not None:
             return out
         d = self._live(self._all("docs"), self.schema.id_col)
         boost = F.col(self.schema.boost_col).cast("double") if self.schema.boost_col else F.lit(1.0)
         own = [(sim.norm(F.col(f"__len_{f}"), boost * self.schema.fields[f].boost) if self.schema.fields[f].norms else F.lit(1.0)).alias(f"__own_{f}") for f in sorted(norm_fields)]
-        base = d.select(F.col(self.schema.id_col).alias("__id"), *[F.col(c).alias(f"__c_{c}") for c in sorted(columns)], *own)
+        base = d.select(F.col(self.schema.id_col).alias("__id"), "__seg", *[F.col(c).alias(f"__c_{c}") for c in sorted(columns)], *own)
         if out is None:
-            return base.select(F.col("__id").alias(DOC), *[F.col(f"__own_{f}").alias(norm_name(f)) for f in sorted(norm_fields)], *[f"__c_{c}" for c in sorted(columns)])
+            named = base.select(F.col("__id").alias(DOC), "__seg", *[F.col(f"__own_{f}").alias(norm_name(f)) for f in sorted(norm_fields)], *[f"__c_{c}" for c in sorted(columns)])
+            return self._with_set_norms(named, sorted(norm_fields))
         joined = base.join(out, F.col("__id") == F.col(DOC), "left" if all_docs else "inner")
         slots = [F.coalesce(slot(i), F.array().cast("array<string>" if x.terms else POSITIONS)).alias(slot(i)) for i, x in enumerate(leaves)]
+        slots += [F.coalesce(payload_slot(i), F.array().cast("array<double>")).alias(payload_slot(i)) for i, x in enumerate(leaves) if self.schema.fields[x.field].payload is not None]
         return joined.select(F.col("__id").alias(DOC), *slots, *[F.coalesce(norm_name(f), f"__own_{f}").alias(norm_name(f)) for f in sorted(norm_fields)], *[f"__c_{c}" for c in sorted(columns)])
 
 
+@dataclass
+class MultiIndexView:
+    """Several written indexes of one schema and distinct ids as one view: statistics are sums over all, so scores are comparable."""
+
+    readers: list[IndexReader]
+
+    @property
+    def schema(self) -> Schema:
+        return self.readers[0].schema
+
+    def _union(self, frames: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, frames)
+
+    def rows(self, leaves: list[Leaf], norm_fields: set[str], columns: set[str], all_docs: bool, sim: Similarity) -> DataFrame:
+        return self._union([r.rows(leaves, norm_fields, columns, all_docs, sim) for r in self.readers])
+
+    def doc_freqs(self, leaves: list[Leaf], sim: Similarity) -> tuple[list[int], int]:
+        own = [r.doc_freqs(leaves, sim) for r in self.readers]
+        return [sum(x) for x in zip(*(df for df, _ in own))], sum(n for _, n in own)
+
+    def postings(self, f: str) -> DataFrame:
+        return self._union([r.postings(f) for r in self.readers])
+
+    def dictionary(self, f: str) -> DataFrame:
+        return self._union([r.dictionary(f) for r in self.readers]).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 def multi(*frames: DataFrame) -> DataFrame:
     """Several readers' documents as one; statistics over the union are global."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -294,11 +498,11 @@ def parallel(first: DataFrame, *others: DataFrame, on: str = "doc_id") -> DataFr
 
     All must have one set of ids; a table with more or fewer rows is an error.
     """
-    n = first.count()
+    sizes = reduce(DataFrame.union, [x.agg(F.count("*").alias("n")) for x in (first, *others)]).distinct().limit(2).collect()  # one job for all
+    if len(sizes) > 1:
+        raise ValueError("parallel tables must have one number of documents")
     out = first
     for o in others:
-        if o.count() != n:
-            raise ValueError("parallel tables must have one number of documents")
         new = [c for c in o.columns if c == on or c not in out.columns]
         out = out.join(o.select(*new), on)
     return out

@@ -23,18 +23,20 @@ class OneDocumentView(ScanView):
 def match_stored(docs: DataFrame, schema: Schema, queries: dict[str, A.Query]) -> DataFrame:
     """(query, doc_id, score) of every stored query that a document matches.
 
-    Each query is an expression over the document's row, so this is one narrow
-    projection that keeps no state: it runs alike over a table and a stream.
+    Each query is an expression over the document's row, all over the same one,
+    so this is one narrow projection that reads and analyzes a document once and
+    keeps no state: it runs alike over a table and a stream.
     """
     if not queries:
         return docs.sparkSession.createDataFrame([], f"query string, {schema.id_col} long, score double")
-    out = None
-    for name, q in queries.items():
-        c = Compiler(OneDocumentView(docs, schema), q)
-        h = c.hit(c.query, c.sim.query_norm(c.squares(c.query)))
-        one = matching(c.frame(), h.match).select(F.lit(name).alias("query"), F.col(DOC).alias(schema.id_col), F.round(h.score, 6).alias("score"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    c = Compiler(OneDocumentView(docs, schema), *[next(iter(queries.values())), None, *list(queries.values())[1:]])
+    tests = []
+    for name, q in zip(queries, c.queries):
+        h = c.hit(q, c.sim.query_norm(c.squares(q)))
+        tests.append(F.when(h.match, F.struct(F.lit(name).alias("query"), F.round(h.score, 6).alias("score"))))
+    found = F.array_compact(F.array(*tests))
+    rows = matching(c.frame(), F.size(found) > 0).select(F.col(DOC).alias(schema.id_col), F.explode(found).alias("x"))
+    return rows.select("x.query", schema.id_col, "x.score")
 
 
 def index_stream(docs: DataFrame, writer, checkpoint: str, on_batch: Callable[[int], None] | None = None):

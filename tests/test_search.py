@@ -104,7 +104,9 @@ def test_analyzers(spark):
 
     assert terms(an.stop_analyzer(), "The quick fox") == [("quick", 1), ("fox", 2)]
     assert [x for x, _ in terms(an.standard_analyzer(()), "AT&T O'Reilly's U.S.A. 216.239.63.104 a@b.com")] == ["at&t", "o'reilly", "usa", "216.239.63.104", "a@b.com"]
-    assert [x for x, _ in terms(an.Analyzer(an.ngram(1, 2)), "abc")] == ["a", "b", "c", "ab", "bc"]
+    assert [x for x, _ in terms(an.Analyzer(an.ngram(1, 2)), "abc")] == ["a", "ab", "b", "bc", "c"]
+    assert [x for x, _ in terms(an.Analyzer(an.ngram(2, 3)), "abcde")] == ["ab", "abc", "bc", "bcd", "cd", "cde", "de"]
+    assert [x for x, _ in terms(an.Analyzer(an.ngram(2, 3)), "a")] == [] and [x for x, _ in terms(an.edge_ngram_analyzer(1, 2, "back"), "abc")] == ["c", "bc"]
     assert [x for x, _ in terms(an.Analyzer(an.edge_ngram(1, 3)), "abcde")] == ["a", "ab", "abc"]
     assert [x for x, _ in terms(an.Analyzer(an.letter), "a" * 600)] == ["a" * 255, "a" * 255, "a" * 90]
     assert [x for x, _ in terms(an.Analyzer(an.cjk), "abc漢字語 d")] == ["abc", "漢字", "字語", "d"]
