@@ -2,10 +2,12 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tesserae.llm.decontaminate import Benchmark, find_leaks, fingerprint, remove_leaks, similarity
-from tesserae.llm.substrings import chains, lcs, repeated_passages, winnowed
+from tesserae.llm import decontaminate
+from tesserae.llm.decontaminate import Benchmark, HammingIndex, find_leaks, fingerprint, remove_leaks, similarity
+from tesserae.llm.substrings import chains, grow, lcs, repeated_passages, winnowed
 from tests.llm.data import SF, awkward, empty, invented, words
 
 
@@ -50,6 +52,65 @@ def test_no_exact_repeat_is_missed(spark):
     assert want <= {r["doc_id"] for r in repeated_passages(docs).collect()}
 
 
+def reported(spark, rows):
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    return repeated_passages(docs).collect()
+
+
+def test_partial_holders_hide_no_passage(spark):
+    p = invented(60, 400)
+    part = {1: p[:22], 2: p[19:41], 3: p[38:], 12: p[:22], 13: p[19:41], 14: p[38:]}
+    rows = [(i, invented(40, 410 + i) + w + invented(40, 430 + i)) for i, w in part.items()]
+    rows += [(i, invented(40, 450 + i) + p + invented(40, 480 + i)) for i in (10, 20)]
+    (got,) = reported(spark, rows)
+    assert (got["doc_id"], got["start_word"], got["end_word"], got["source_doc_id"], got["source_start"], got["source_end"], got["similarity"]) == (20, 40, 100, 10, 40, 100, 1.0)
+
+
+def test_exact_runs_among_partial_holders(spark):
+    r = random.Random(500)
+    passages = [invented(r.randrange(50, 110), 510 + n, 100_000) for n in range(12)]
+    rows = []
+    for i in range(260):
+        w = invented(r.randrange(20, 60), 600 + i, 100_000)
+        for _ in range(r.randrange(1, 4)):
+            p = r.choice(passages)
+            n = r.choice([r.randrange(15, 50), r.randrange(30, 50), 50, r.randrange(50, len(p) + 1)])
+            a = r.randrange(0, len(p) - min(n, len(p)) + 1)
+            w += p[a : a + n] + invented(r.randrange(5, 30), 10_000 + 10 * i + len(w), 100_000)
+        rows.append((i, w))
+    seen, want = {}, {}
+    for i, w in rows:
+        for a in range(len(w) - 49):
+            if seen.setdefault(tuple(w[a : a + 50]), i) != i:
+                want.setdefault(i, set()).add(a)
+    by_doc = {}
+    for x in reported(spark, rows):
+        by_doc.setdefault(x["doc_id"], []).append((x["start_word"], x["end_word"]))
+        a, b = dict(rows)[x["doc_id"]][x["start_word"] : x["end_word"]], dict(rows)[x["source_doc_id"]][x["source_start"] : x["source_end"]]
+        assert x["source_doc_id"] < x["doc_id"] and min(len(a), len(b)) >= 50
+        assert lcs(a, b) / max(len(a), len(b)) == pytest.approx(x["similarity"]) and x["similarity"] >= 0.8
+    assert set(want) <= set(by_doc) and len(want) > 60
+    # every such run meets a passage in its words
+    assert all(any(s < a + 50 and a < e for s, e in by_doc[i]) for i, starts in want.items() for a in starts)
+
+
+def test_fuzzy_passages(spark):
+    for rate, least in ((0.1, 0.95), (0.15, 0.8)):
+        rows = []
+        for n in range(100):
+            p = invented(60, 2000 + n)
+            rows += [(2 * n, invented(80, 2200 + n) + p + invented(80, 2400 + n)), (2 * n + 1, invented(80, 2600 + n) + fuzzed(p, rate, n) + invented(80, 2800 + n))]
+        got = {x["doc_id"] for x in reported(spark, rows)}
+        reached = {2 * n + 1 for n in range(100) if lcs(invented(60, 2000 + n), fuzzed(invented(60, 2000 + n), rate, n)) / max(60, len(fuzzed(invented(60, 2000 + n), rate, n))) >= 0.82}
+        assert got <= set(range(1, 200, 2)) and len(got & reached) >= least * len(reached), (rate, len(got & reached), len(reached))
+
+
+def test_an_inserted_word_at_an_edge_is_crossed():
+    a = list(range(40))
+    assert grow(a, [99, *a]) == (40, 41) and grow([99, 98, *a], a) == (42, 40) and grow(a, a[:10] + [77] + a[11:]) == (40, 40)
+    assert grow(a, list(range(100, 140))) == (0, 0) and grow([], a) == (0, 0)
+
+
 def test_chaining_against_a_quadratic_program():
     r = random.Random(4)
     points = sorted({(r.randrange(60), r.randrange(60)) for _ in range(40)}, key=lambda p: (p[1], p[0]))
@@ -151,6 +212,55 @@ def test_block_index_finds_all_within_the_radius():
     assert fingerprint(np.asarray([5], np.uint64)) == 5
 
 
+def test_index_at_any_size_and_radius():
+    r = np.random.default_rng(3)
+    for n, radius in ((1, 19), (200, 23), (3000, 7), (30_000, 11)):
+        prints = r.integers(0, 1 << 63, n).astype(np.uint64)
+        asked = np.concatenate([prints[:40], prints[:40] ^ np.uint64(0b1011), r.integers(0, 1 << 63, 40).astype(np.uint64)])
+        q, v = np.nonzero(np.bitwise_count(asked[:, None] ^ prints) <= radius)
+        got = HammingIndex(prints, radius).near(asked)
+        assert sorted(zip(*(x.tolist() for x in got))) == sorted(zip(q.tolist(), v.tolist()))
+    assert HammingIndex(np.empty(0, np.uint64), 19).near(np.zeros(3, np.uint64))[0].size == 0
+
+
+def test_candidates_come_from_the_index(monkeypatch):
+    item = invented(40, 90)
+    text = pa.array([" ".join(invented(30, 91) + item + invented(30, 92))])
+    found = list(Benchmark([7], [" ".join(item)], 5, 0.8, 23).search(text))
+    assert found == [(0, 0, 30, 1.0)]
+    monkeypatch.setattr(HammingIndex, "near", lambda self, prints: (np.empty(0, np.int64),) * 2)
+    assert list(Benchmark([7], [" ".join(item)], 5, 0.8, 23).search(text)) == []
+
+
+def test_many_items_in_one_scan(spark, monkeypatch):
+    r = random.Random(93)
+    items = [invented(r.randrange(15, 60), 10_000 + n, 3000) for n in range(10_000)]
+    rows = [invented(60, 94 + n) + items[n * 97 % 10_000] + invented(60, 300 + n) for n in range(100)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(f"item {n}", " ".join(w)) for n, w in enumerate(items)], "item_id string, text string")
+    want = {(n, f"item {n * 97 % 10_000}") for n in range(100)}
+    for block in (8 << 20, 1 << 20):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        got = find_leaks(docs, bench)
+        assert {(x["doc_id"], x["item_id"]) for x in got.collect()} == want
+        assert "Union" not in got._jdf.queryExecution().toString()
+    assert remove_leaks(docs.union(docs.limit(0)), bench).count() == 0
+
+
+def test_leaks_at_the_threshold_and_repetitive_texts():
+    r = random.Random(95)
+    items = [invented(n, 1000 + n, 500) for n in (15, 22, 38, 59)] + [["x"] * 30, ["a", "b"] * 12, invented(38, 999, 500)]
+    rows = [["x"] * 300, ["a", "b"] * 100 + ["x"] * 28, items[3] + items[3], items[2][4:], items[2][:20] + ["q"] + items[2][21:]]
+    for n in range(60):
+        w = list(r.choice(items))
+        for _ in range(r.randrange(0, 3)):
+            w[r.randrange(len(w))] = "z"
+        rows.append(invented(20, n) + w + invented(20, 50 + n))
+    b = Benchmark(list(range(len(items))), [" ".join(w) for w in items], 5, 0.8, 23)
+    got = {(row, n): round(s, 9) for row, n, _, s in b.search(pa.array([" ".join(w) for w in rows]))}
+    assert got == best_windows([(i, " ".join(w)) for i, w in enumerate(rows)], [(n, " ".join(w)) for n, w in enumerate(items)])
+
+
 def test_edges(spark):
     docs, bench = awkward(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
     assert repeated_passages(docs).where("doc_id is null").count() == 0
