@@ -66,22 +66,28 @@ def _payloads(tokens: Column, payload: Callable[[Column], Column], sim: Similari
     return F.transform(tokens, lambda t: sim.payload_score(payload(t).cast("double")).cast("double"))
 
 
-def in_terms(docs: DataFrame, tokens: str, entry: Callable[[Column, Column], Column]) -> DataFrame:
-    """``docs`` with column ``__e``: an entry of (term, its tokens in order) for each distinct term of a row's token column.
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once; a column of its own could be written out again at each use."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def in_terms(tokens: Column, entry: Callable[[Column, Column], Column]) -> Column:
+    """An entry of (term, its tokens in order) for each distinct term of a token array.
 
     A document's tokens stand in one row, so they are grouped there, and no row is shuffled.
     """
     none = F.array().cast("array<int>")
-    rows = docs.withColumn("__sorted", F.sort_array(tokens))
-    term = lambda i: F.element_at("__sorted", i)["term"]
-    starts = F.when(F.size("__sorted") > 0, F.filter(F.sequence(F.lit(1), F.size("__sorted")), lambda i: F.when(i == 1, True).otherwise(term(i) != term(i - 1)))).otherwise(none)
-    rows = rows.withColumn("__starts", starts)
 
-    def one(i: Column, k: Column) -> Column:
-        n = F.coalesce(F.get("__starts", k + 1), F.size("__sorted") + 1) - i
-        return entry(term(i), F.slice("__sorted", i, n))
+    def grouped(s: Column) -> Column:
+        term = lambda i: F.element_at(s, i)["term"]
+        starts = F.when(F.size(s) > 0, F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: F.when(i == 1, True).otherwise(term(i) != term(i - 1)))).otherwise(none)
+
+        def one(at: Column) -> Callable[[Column, Column], Column]:
+            return lambda i, k: entry(term(i), F.slice(s, i, F.coalesce(F.get(at, k + 1), F.size(s) + 1) - i))
 
-    return rows.withColumn("__e", F.transform("__starts", one)).drop("__sorted", "__starts")
+        return bound(starts, lambda at: F.transform(at, one(at)))
+
+    return bound(F.sort_array(tokens), grouped)
 
 
 def norm_name(f: str) -> str:
@@ -133,15 +139,15 @@ class ScanView:
     def postings(self, f: str) -> DataFrame:
         """(term, doc, tf, positions) of a field: a narrow plan."""
         tokens = F.transform(self._stream(f), lambda t: F.struct(t["term"].alias("term"), t["pos"].alias("pos")))
-        rows = self.docs.select(F.col(self.schema.id_col).alias(DOC), tokens.alias("__s"))
         entry = lambda term, own: F.struct(term.alias("term"), F.size(own).cast("long").alias("tf"), F.transform(own, lambda t: t["pos"]).alias("positions"))
-        return in_terms(rows, "__s", entry).select(DOC, F.explode("__e").alias("e")).select("e.term", DOC, "e.tf", "e.positions")
+        return self.docs.select(F.col(self.schema.id_col).alias(DOC), F.explode(in_terms(tokens, entry)).alias("e")).select("e.term", DOC, "e.tf", "e.positions")
 
     def dictionary(self, f: str) -> DataFrame:
         """(term, df, cf) of a field; a row's first occurrence of each term is marked, so one aggregation counts both."""
-        rows = self.docs.select(F.array_sort(F.transform(self._stream(f), lambda t: t["term"])).alias("__ts"))
-        marked = F.transform("__ts", lambda t, i: F.struct(t.alias("term"), F.when(i == 0, True).otherwise(F.get("__ts", i - 1) != t).cast("long").alias("first")))
-        tokens = rows.select(F.explode(marked).alias("x"))
+        def marked(ts: Column) -> Column:
+            return F.transform(ts, lambda t, i: F.struct(t.alias("term"), F.when(i == 0, True).otherwise(F.get(ts, i - 1) != t).cast("long").alias("first")))
+
+        tokens = self.docs.select(F.explode(bound(F.array_sort(F.transform(self._stream(f), lambda t: t["term"])), marked)).alias("x"))
         return tokens.groupBy(F.col("x.term").alias("term")).agg(F.sum("x.first").alias("df"), F.count("*").alias("cf"))
 
 

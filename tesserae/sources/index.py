@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.similarity import Similarity, decoded_norm
 from tesserae.plans import ast as A
-from tesserae.plans.search import DOC, POSITIONS, Compiler, Leaf, ScanView, in_terms, norm_name, payload_slot, slot
+from tesserae.plans.search import DOC, POSITIONS, Compiler, Leaf, ScanView, bound, in_terms, norm_name, payload_slot, slot
 from tesserae.schema import Schema
 
 
@@ -191,12 +191,9 @@ class IndexWriter:
         lengths = [F.size(view._stream(f)).alias(f"__len_{f}") for f in fields]
         docs.select(*docs.columns, *lengths).write.parquet(f"{self.path}/segments/{name}/docs")
         boost = F.col(self.schema.boost_col).cast("double") if self.schema.boost_col else F.lit(1.0)
-        rows = docs.select(F.col(self.schema.id_col).alias("doc"), boost.alias("boost"), *[self._tokens(view, f).alias(f"__t_{f}") for f in fields])
-        entries = []
-        for f in fields:
-            rows = in_terms(rows, f"__t_{f}", self._entry(f)).withColumnRenamed("__e", f"__e_{f}")
-            entries.append(F.transform(f"__e_{f}", self._named(f, f"__t_{f}")))
-        postings = rows.select("doc", "boost", F.explode(F.concat(*entries)).alias("x")).select("x.field", "x.term", "doc", "x.len", "boost", "x.tf", "x.positions", "x.payloads")
+        entries = [bound(self._tokens(view, f), self._entries(f)) for f in fields]
+        rows = docs.select(F.col(self.schema.id_col).alias("doc"), boost.alias("boost"), F.explode(F.concat(*entries)).alias("x"))
+        postings = rows.select("x.field", "x.term", "doc", "x.len", "boost", "x.tf", "x.positions", "x.payloads")
         n_parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         postings.repartitionByRange(n_parts, "field", "term", "doc").sortWithinPartitions("field", "term", "doc").write.parquet(f"{self.path}/segments/{name}/postings")
         self.now.segments.append(name)
@@ -208,14 +205,19 @@ class IndexWriter:
         value = (lambda t: payload(t).cast("double")) if payload else (lambda t: F.lit(None).cast("double"))
         return F.transform(view._stream(f), lambda t: F.struct(t["term"].alias("term"), t["pos"].alias("pos"), value(t).alias("payload")))
 
-    def _entry(self, f: str) -> Callable[[Column, Column], Column]:
+    def _entries(self, f: str) -> Callable[[Column], Column]:
+        """A field's postings of one document, of its tokens."""
         paid = self.schema.fields[f].payload is not None
         none = F.lit(None).cast("array<double>")
-        return lambda term, own: F.struct(term.alias("term"), F.size(own).cast("long").alias("tf"), F.transform(own, lambda t: t["pos"]).alias("positions"), (F.transform(own, lambda t: t["payload"]) if paid else none).alias("payloads"))
 
-    @staticmethod
-    def _named(f: str, tokens: str) -> Callable[[Column], Column]:
-        return lambda e: F.struct(F.lit(f).alias("field"), e["term"].alias("term"), F.size(tokens).alias("len"), e["tf"].alias("tf"), e["positions"].alias("positions"), e["payloads"].alias("payloads"))
+        def of(tokens: Column) -> Column:
+            def entry(term: Column, own: Column) -> Column:
+                payloads = F.transform(own, lambda t: t["payload"]) if paid else none
+                return F.struct(F.lit(f).alias("field"), term.alias("term"), F.size(tokens).alias("len"), F.size(own).cast("long").alias("tf"), F.transform(own, lambda t: t["pos"]).alias("positions"), payloads.alias("payloads"))
+
+            return in_terms(tokens, entry)
+
+        return of
 
     def delete_ids(self, ids: DataFrame) -> None:
         rows = ids.select(F.col(ids.columns[0]).alias("id")).distinct().withColumn("below", F.lit(self.now.next_segment))
