@@ -100,12 +100,14 @@ def kth_largest(keys: DataFrame, k: int) -> float:
     return part.orderBy(F.desc("key")).limit(k - above).agg(F.min("key")).first()[0]
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, noise: float = 1.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, noise: float = 1.0, seed: int = 42, target_rows: int = TARGET_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, log_weight, sample_key, kept) per row.
 
     ``labels`` has (id, quality) and may have toxic: texts of quality 1 that are
     not toxic are the target; a null toxic, or no such column, is not toxic, and
-    an id that any of its labels calls toxic is.  k is the sample's size; None
+    an id that any of its labels calls toxic is.  At most ``target_rows`` target
+    documents, chosen by a hash of the id, are used, a bound on what is
+    broadcast; the raw model counts all documents.  k is the sample's size; None
     takes as many documents as the labels call good in this sense, in
     proportion.  The Gumbel noise is a function of seed, id and text, so the
     sample repeats exactly; rows alike in both are kept or left together, and
@@ -122,7 +124,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, noise: fl
     bad = marked.where("toxic").select("id").distinct().withColumn("bad", F.lit(True))
     votes = marked.where("q is not null").join(bad, "id", "left").select("id", (F.col("q").eqNullSafe(1) & F.col("bad").isNull()).alias("good"))
     good, voted = votes.agg(F.sum(F.col("good").cast("long")), F.count("*")).first()
-    targets = votes.where("good").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(TARGET_ROWS)
+    targets = votes.where("good").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(target_rows)
     target, raw, n_target, n_docs = ngram_counts(rows, targets)
     ratio = log_ratio(target, raw) if target.sum() else np.zeros(BUCKETS)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)

@@ -1,14 +1,17 @@
 import hashlib
+import math
 import random
 import re
 
 import numpy as np
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tesserae.llm.crf import Chain, train
 from tesserae.llm.pii import ADDED, base_spans, find, find_pii, labelled_table, luhn, trained, written
 from tesserae.llm.resample import kth_largest, log_ratio, resample
-from tests.llm.data import SF, awkward, empty
+from tests.llm.data import SF, awkward, empty, words
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
@@ -142,11 +145,49 @@ def test_resampling_separates_held_out_labels(spark):
     shown, hidden = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
     got = resample(docs, shown)
     assert got.count() == 10_000
-    share = dict(map(tuple, got.join(hidden, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()))
-    assert share[1] > 0.95 and share[0] < 0.2
+    share = {(r["quality"], r["toxic"]): r["kept"] for r in got.join(hidden, "doc_id").groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    # toxic texts are no target, whatever their quality; the sample is as large as the share of the others
+    assert share[1, 0] > 0.85 and share[0, 0] < 0.1 and share[0, 1] < 0.1 and share[1, 1] < share[1, 0] - 0.15
     assert resample(docs, shown, k=100).where("kept").count() == 100
 
 
+def plain_grams(text):
+    """Buckets of the words and of the pairs of neighbours, one by one."""
+    w = [xxhash.xxh64_intdigest(x.encode(), 42) for x in words(text)]
+    pairs = []
+    for a, b in zip(w, w[1:]):
+        h = (a * 0x9E3779B97F4A7C15 + b) % 2**64
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+        pairs.append(h ^ h >> 31)
+    return [h % 65536 for h in w + pairs]
+
+
+def test_resampling_against_a_plain_version(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = [r for r in labels.collect() if r["quality"] is not None]
+    toxic = {r["doc_id"] for r in rows if r["toxic"] == 1}
+    good = [r["doc_id"] for r in rows if r["quality"] == 1 and r["doc_id"] not in toxic]
+    raw, target = [0] * 65536, [0] * 65536
+    for i, t in texts.items():
+        for g in plain_grams(t):
+            raw[g] += 1
+            target[g] += i in good
+    n, m = sum(raw) + 0.5 * 65536, sum(target) + 65536
+    ratio = [math.log((t + 65536 * (x + 0.5) / n) / m) - math.log((x + 0.5) / n) for x, t in zip(raw, target)]
+    want = {i: sum(ratio[g] for g in plain_grams(t)) for i, t in texts.items()}
+    got = {r["doc_id"]: r for r in resample(docs, labels).collect()}
+    assert {i: r["n_words"] for i, r in got.items()} == {i: len(words(t)) for i, t in texts.items()}
+    assert all(r["log_weight"] == pytest.approx(want[i], abs=1e-6) for i, r in got.items())
+    # Gumbel noise: the key less the weight, a function of seed, id and text
+    hashes = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.lit(42), "doc_id", "text").alias("h")).collect()}
+    noise = {i: -math.log(-math.log((((h % 2**64) >> 11) + 0.5) / 2.0**53)) for i, h in hashes.items()}
+    assert all(r["sample_key"] == pytest.approx(want[i] + noise[i], abs=1e-6) for i, r in got.items())
+    k = -(-len(texts) * len(good) // len(rows))
+    assert {i for i, r in got.items() if r["kept"]} == set(sorted(got, key=lambda i: -got[i]["sample_key"])[:k])
+
+
 def test_toxic_documents_are_no_target(spark):
     docs = spark.createDataFrame([(i, ("kind good words here " if i % 2 else "vile bad slurs there ") * 20) for i in range(400)], "doc_id long, text string")
     rows = [(i, 1, 1 - i % 2) for i in range(100)] + [(100, 0, 0), (101, 1, None), (102, None, 1), (103, 1, 0), (103, 1, 1)]
