@@ -16,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.functions import stemmers
+from tesserae.functions import stemmers, stopwords
 
 Stream = Column
 Filter = Callable[[Stream], Stream]
@@ -400,11 +400,11 @@ def snowball_analyzer(name: str, words: Iterable[str] = ()) -> Analyzer:
     return Analyzer(standard, (standard_filter, lower, stop(words), stem(name)))
 
 
-def german_analyzer(words: Iterable[str] = (), exclude: Iterable[str] = ()) -> Analyzer:
+def german_analyzer(words: Iterable[str] = stopwords.GERMAN, exclude: Iterable[str] = ()) -> Analyzer:
     return Analyzer(standard, (standard_filter, lower, stop(words), stem("german", exclude)))
 
 
-def arabic_analyzer(words: Iterable[str] = ()) -> Analyzer:
+def arabic_analyzer(words: Iterable[str] = stopwords.ARABIC) -> Analyzer:
     return Analyzer(arabic_letter, (lower, stop(words), arabic_normalize, stem("arabic")))
 
 
@@ -412,14 +412,33 @@ def persian_analyzer(words: Iterable[str] = ()) -> Analyzer:
     return Analyzer(arabic_letter, (lower, arabic_normalize, persian_normalize, stop(words)))
 
 
-def greek_analyzer(words: Iterable[str] = ()) -> Analyzer:
+def greek_analyzer(words: Iterable[str] = stopwords.GREEK) -> Analyzer:
     return Analyzer(standard, (standard_filter, greek_lower, stop(words)))
 
 
-def czech_analyzer(words: Iterable[str] = ()) -> Analyzer:
+def czech_analyzer(words: Iterable[str] = stopwords.CZECH) -> Analyzer:
     return Analyzer(standard, (standard_filter, lower, stop(words)))
 
 
+def french_analyzer(words: Iterable[str] = stopwords.FRENCH, exclude: Iterable[str] = ()) -> Analyzer:
+    """Stop words go before case is folded; excluded words are not stemmed."""
+    return Analyzer(standard, (standard_filter, stop(words), lower, stem("french", exclude)))
+
+
+def dutch_analyzer(words: Iterable[str] = stopwords.DUTCH, exclude: Iterable[str] = (), override: dict[str, str] | None = None) -> Analyzer:
+    # Words whose stem the algorithm would miss.
+    fixed = {"fiets": "fiets", "bromfiets": "bromfiets", "ei": "eier", "kind": "kinder"} if override is None else override
+    return Analyzer(standard, (standard_filter, stop(words), lower, stem("dutch", exclude, fixed)))
+
+
+def brazilian_analyzer(words: Iterable[str] = stopwords.BRAZILIAN, exclude: Iterable[str] = ()) -> Analyzer:
+    return Analyzer(standard, (standard_filter, lower, stop(words), stem("brazilian", exclude)))
+
+
+def russian_analyzer(words: Iterable[str] = stopwords.RUSSIAN) -> Analyzer:
+    return Analyzer(russian_letter, (lower, stop(words), stem("russian")))
+
+
 def cjk_analyzer(words: Iterable[str] = ENGLISH_STOP_WORDS) -> Analyzer:
     return Analyzer(cjk, (stop(words),))
 

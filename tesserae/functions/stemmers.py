@@ -93,6 +93,7 @@ def porter(w: str) -> str:
     return w
 
 
+# The published light stemmer's affixes.
 _ARABIC_PREFIXES = ("وال", "بال", "كال", "فال", "ال", "لل", "و")
 _ARABIC_SUFFIXES = ("ها", "ان", "ات", "ون", "ين", "يه", "ية", "ه", "ة", "ي")
 
@@ -236,7 +237,334 @@ def danish(w: str) -> str:
     return w
 
 
-NAMES: dict[str, Callable[[str], str]] = {"porter": porter, "arabic": arabic, "german": german, "swedish": swedish, "norwegian": norwegian, "danish": danish}
+def _after_vowel(w: str, vowels: str) -> int:
+    """The Romance region: behind the next vowel if the second letter is a consonant, behind the next consonant if the first two are vowels, else behind the third letter."""
+    if len(w) < 3:
+        return len(w)
+    if w[1] not in vowels:
+        return next((i + 1 for i in range(2, len(w)) if w[i] in vowels), len(w))
+    if w[0] in vowels:
+        return next((i + 1 for i in range(2, len(w)) if w[i] not in vowels), len(w))
+    return 3
+
+
+def _without(w: str, suffixes, at: int) -> str:
+    """w without the longest of the suffixes that lies behind ``at``, if any does."""
+    s = _ends(w, suffixes, at)
+    return w[: -len(s)] if s else w
+
+
+def _longest_of(w: str, *tables) -> tuple[str, int]:
+    """The longest suffix of all tables that w ends with, and its table; '' and -1 without any."""
+    return max(((s, k) for k, t in enumerate(tables) for s in t if w.endswith(s)), key=lambda x: len(x[0]), default=("", -1))
+
+
+_UMLAUTS = str.maketrans("äëïöüáéíóú", "aeiouaeiou")
+
+
+def dutch(w: str) -> str:
+    """The published Dutch algorithm of the Snowball family."""
+    vowels = "aeiouyè"
+    w = w.translate(_UMLAUTS)
+    w = "".join("Y" if c == "y" and (not i or w[i - 1] in vowels) else "I" if c == "i" and 0 < i < len(w) - 1 and w[i - 1] in vowels and w[i + 1] in vowels else c for i, c in enumerate(w))
+    r1 = _region(w, vowels)
+    r2 = _region(w, vowels, r1)
+    r1 = max(r1, 3)
+    single = lambda x: x[:-1] if x.endswith(("kk", "dd", "tt", "nn", "mm", "ff")) else x
+
+    def en(x: str, suffix: str) -> str:
+        head = x[: -len(suffix)]
+        return single(head) if len(head) >= r1 and head and head[-1] not in vowels and not head.endswith("gem") else x
+
+    def last_e(x: str) -> str:
+        return single(x[:-1]) if x.endswith("e") and len(x) > r1 and len(x) > 1 and x[-2] not in vowels else x
+
+    s, _ = _longest_of(w, ("heden", "ene", "en", "se", "s"))
+    if s == "heden":
+        w = w[:-5] + "heid" if len(w) - 5 >= r1 else w
+    elif s in ("en", "ene"):
+        w = en(w, s)
+    elif s and len(w) - len(s) >= r1 and w[: -len(s)] and w[: -len(s)][-1] not in vowels + "j":
+        w = w[: -len(s)]
+    before = w
+    w = last_e(w)
+    lost_e = w != before
+    if w.endswith("heid") and len(w) - 4 >= r2 and not w.endswith("cheid"):
+        w = w[:-4]
+        if w.endswith("en"):
+            w = en(w, "en")
+    s, _ = _longest_of(w, ("end", "ing", "ig", "lijk", "baar", "bar"))
+    if s and len(w) - len(s) >= r2:
+        head = w[: -len(s)]
+        if s in ("end", "ing"):
+            w = head[:-2] if head.endswith("ig") and len(head) - 2 >= r2 and not head.endswith("eig") else single(head)
+        elif s == "ig":
+            w = w if head.endswith("e") else head
+        elif s == "lijk":
+            w = last_e(head)
+        elif s == "baar" or lost_e:
+            w = head
+    if len(w) > 3 and w[-4] not in vowels and w[-3] == w[-2] and w[-2] in "aeou" and w[-1] not in vowels + "I":
+        w = w[:-2] + w[-1]
+    return w.lower()
+
+
+# The endings of the published Portuguese algorithm.
+_PT_PLAIN = "eza ezas ico ica icos icas ismo ismos ável ível ista istas oso osa osos osas amento amentos imento imentos adora ador aça~o adoras adores aço~es ante antes ância".split()
+_PT_VERBS = (
+    "ada ida ia aria eria iria ará ara erá era irá ava asse esse isse aste este iste ei arei erei irei am iam ariam eriam iriam aram eram iram avam em arem erem irem assem essem issem ado ido ando endo indo ara~o era~o ira~o ar er ir "
+    "as adas idas ias arias erias irias arás aras erás eras irás avas es ardes erdes irdes ares eres ires asses esses isses astes estes istes is ais eis íeis aríeis eríeis iríeis áreis areis éreis ereis íreis ireis ásseis ésseis ísseis áveis "
+    "ados idos ámos amos íamos aríamos eríamos iríamos áramos éramos íramos ávamos emos aremos eremos iremos ássemos êssemos íssemos imos armos ermos irmos eu iu ou ira iras"
+).split()
+
+
+def portuguese(w: str) -> str:
+    """The published Portuguese algorithm of the Snowball family."""
+    vowels = "aeiouáéíóúâêô"
+    w = w.replace("ã", "a~").replace("õ", "o~")
+    rv = _after_vowel(w, vowels)
+    r1 = _region(w, vowels)
+    r2 = _region(w, vowels, r1)
+    start = w
+    s, k = _longest_of(w, _PT_PLAIN, ("logia", "logias"), ("uça~o", "uço~es"), ("ência", "ências"), ("amente",), ("mente",), ("idade", "idades"), ("iva", "ivo", "ivas", "ivos"), ("ira", "iras"))
+    head = w[: len(w) - len(s)]
+    if k == 4 and len(head) >= r1:
+        w = head
+        if w.endswith("iv") and len(w) - 2 >= r2:
+            w = _without(w[:-2], ("at",), r2)
+        else:
+            w = _without(w, ("os", "ic", "ad"), r2)
+    elif k == 8:
+        w = head + "ir" if len(head) >= rv and head.endswith("e") else w
+    elif k >= 0 and k != 4 and len(head) >= r2:
+        w = head + ("", "log", "u", "ente", "", "", "", "")[k]
+        w = _without(w, {5: ("ante", "avel", "ível"), 6: ("abil", "ic", "iv"), 7: ("at",)}.get(k, ()), r2)
+    if w == start:
+        w = _without(w, _PT_VERBS, rv)
+    if w != start:
+        if w.endswith("ci") and len(w) - 1 >= rv:
+            w = w[:-1]
+    else:
+        w = _without(w, ("os", "a", "i", "o", "á", "í", "ó"), rv)
+    if _ends(w, ("e", "é", "ê"), rv):
+        w = w[:-1]
+        if w.endswith(("gu", "ci")) and len(w) - 1 >= rv:
+            w = w[:-1]
+    elif w.endswith("ç"):
+        w = w[:-1] + "c"
+    return w.replace("a~", "ã").replace("o~", "õ")
+
+
+def brazilian(w: str) -> str:
+    """Portuguese endings from words without their accents' marks."""
+    import unicodedata
+
+    return "".join(c for c in unicodedata.normalize("NFD", portuguese(w.lower())) if not unicodedata.combining(c))
+
+
+# The endings of the published French algorithm.
+_FR_I = "îmes ît îtes i ie ies ir ira irai iraIent irais irait iras irent irez iriez irions irons iront is issaIent issais issait issant issante issantes issants isse issent isses issez issiez issions issons it".split()
+_FR_E = "é ée ées és èrent er era erai eraIent erais erait eras erez eriez erions erons eront ez iez".split()
+_FR_A = "âmes ât âtes a ai aIent ais ait ant ante antes ants as asse assent asses assiez assions".split()
+
+
+def french(w: str) -> str:
+    """The published French algorithm of the Snowball family."""
+    vowels = "aeiouyâàëéêèïîôûù"
+    raised = []
+    for i, c in enumerate(w):
+        before, after = w[i - 1 : i] if i else "", w[i + 1 : i + 2]
+        between = bool(before) and before in vowels and bool(after) and after in vowels
+        beside = bool(before) and before in vowels or bool(after) and after in vowels
+        raised.append(c.upper() if c in "ui" and between or c == "y" and beside or c == "u" and before == "q" else c)
+    w = "".join(raised)
+    if w[:3] in ("par", "col", "tap") or len(w) > 1 and w[0] in vowels and w[1] in vowels:
+        rv = min(3, len(w))
+    else:
+        rv = next((i + 1 for i in range(1, len(w)) if w[i] in vowels), len(w))
+    r1 = _region(w, vowels)
+    r2 = _region(w, vowels, r1)
+    start, again = w, False
+    tables = (
+        "ance iqUe isme able iste eux ances iqUes ismes ables istes".split(),
+        "atrice ateur ation atrices ateurs ations".split(),
+        ("logie", "logies"),
+        "usion ution usions utions".split(),
+        ("ence", "ences"),
+        ("ement", "ements"),
+        ("ité", "ités"),
+        "if ive ifs ives".split(),
+        ("eaux",),
+        ("aux",),
+        ("euse", "euses"),
+        ("issement", "issements"),
+        ("amment",),
+        ("emment",),
+        ("ment", "ments"),
+    )
+    s, k = _longest_of(w, *tables)
+    head = w[: len(w) - len(s)]
+    n = len(head)
+
+    def or_else(x: str, suffix: str, instead: str) -> str:  # the suffix goes in R2, elsewhere it is replaced
+        return x if not x.endswith(suffix) else x[: -len(suffix)] + ("" if len(x) - len(suffix) >= r2 else instead)
+
+    if k == 0 and n >= r2:
+        w = head
+    elif k == 1 and n >= r2:
+        w = or_else(head, "ic", "iqU")
+    elif k in (2, 3, 4) and n >= r2:
+        w = head + ("log", "u", "ent")[k - 2]
+    elif k == 5 and n >= rv:
+        w = head
+        if w.endswith("iv") and len(w) - 2 >= r2:
+            w = _without(w[:-2], ("at",), r2)
+        elif w.endswith("eus"):
+            w = w[:-3] if len(w) - 3 >= r2 else w[:-1] + "x" if len(w) - 3 >= r1 else w
+        elif _ends(w, ("abl", "iqU"), r2):
+            w = w[:-3]
+        elif _ends(w, ("ièr", "Ièr"), rv):
+            w = w[:-3] + "i"
+    elif k == 6 and n >= r2:
+        w = or_else(or_else(head, "abil", "abl"), "ic", "iqU")
+        w = _without(w, ("iv",), r2)
+    elif k == 7 and n >= r2:
+        w = or_else(head[:-2], "ic", "iqU") if head.endswith("at") and n - 2 >= r2 else head
+    elif k == 8:
+        w = head + "eau"
+    elif k == 9 and n >= r1:
+        w = head + "al"
+    elif k == 10:
+        w = head if n >= r2 else head + "eux" if n >= r1 else w
+    elif k == 11 and n >= r1 and head and head[-1] not in vowels:
+        w = head
+    elif k in (12, 13) and n >= rv:
+        w, again = head + ("ant", "ent")[k - 12], True
+    elif k == 14 and n - 1 >= rv and head and head[-1] in vowels:
+        w, again = head, True
+    changed = w != start
+    if not changed or again:
+        verb = _ends(w, _FR_I, rv)
+        if verb and len(w) - len(verb) - 1 >= rv and w[: -len(verb)][-1] not in vowels:
+            w, changed = w[: -len(verb)], True
+        else:
+            verb, kind = max(((_ends(w, t, rv), k) for k, t in enumerate((("ions",), _FR_E, _FR_A))), key=lambda x: len(x[0]))
+            if verb and (kind or len(w) - len(verb) >= r2):
+                w, changed = w[: -len(verb)], True
+                if kind == 2 and w.endswith("e") and len(w) - 1 >= rv:
+                    w = w[:-1]
+    if changed:
+        w = w[:-1] + {"Y": "i", "ç": "c"}.get(w[-1:], w[-1:])
+    else:
+        if w.endswith("s") and len(w) > 1 and w[-2] not in "aiouès":
+            w = w[:-1]
+        s, k = max(((_ends(w, t, rv), k) for k, t in enumerate((("ion",), ("ier", "ière", "Ier", "Ière"), ("e",), ("ë",)))), key=lambda x: len(x[0]))
+        if k == 0 and s and len(w) - 3 >= r2 and len(w) - 4 >= rv and w[-4] in "st":
+            w = w[:-3]
+        elif k == 1:
+            w = w[: -len(s)] + "i"
+        elif k == 2 or k == 3 and w.endswith("guë"):
+            w = w[:-1]
+    if w.endswith(("enn", "onn", "ett", "ell", "eill")):
+        w = w[:-1]
+    tail = len(w) - next((i for i, c in enumerate(reversed(w)) if c in vowels), len(w))
+    if 0 < tail < len(w) and w[tail - 1] in "éè":
+        w = w[: tail - 1] + "e" + w[tail:]
+    return w.lower()
+
+
+# The endings of the published Spanish algorithm.
+_ES_PRONOUNS = "me se sela selo selas selos la le lo las les los nos".split()
+_ES_PLAIN = "anza anzas ico ica icos icas ismo ismos able ables ible ibles ista istas oso osa osos osas amiento amientos imiento imientos".split()
+_ES_TION = "adora ador ación adoras adores aciones ante antes ancia ancias".split()
+_ES_Y = "ya ye yan yen yeron yendo yo yó yas yes yais yamos".split()
+_ES_VERBS = (
+    "arían arías arán arás aríais aría aréis aríamos aremos ará aré erían erías erán erás eríais ería eréis eríamos eremos erá eré irían irías irán irás iríais iría iréis iríamos iremos irá iré "
+    "aba ada ida ía ara iera ad ed id ase iese aste iste an aban ían aran ieran asen iesen aron ieron ado ido ando iendo ió ar er ir as abas adas idas ías aras ieras ases ieses ís áis abais íais arais ierais aseis ieseis asteis isteis ados idos "
+    "amos ábamos íamos imos áramos iéramos iésemos ásemos"
+).split()
+_ACUTE = str.maketrans("áéíóú", "aeiou")
+
+
+def spanish(w: str) -> str:
+    """The published Spanish algorithm of the Snowball family."""
+    vowels = "aeiouáéíóúü"
+    rv = _after_vowel(w, vowels)
+    r1 = _region(w, vowels)
+    r2 = _region(w, vowels, r1)
+    pronoun = _ends(w, _ES_PRONOUNS, rv)
+    if pronoun:
+        head = w[: -len(pronoun)]
+        if x := _ends(head, ("iéndo", "ándo", "ár", "ér", "ír"), rv):
+            w = head[: -len(x)] + x.translate(_ACUTE)
+        elif _ends(head, ("ando", "iendo", "ar", "er", "ir"), rv) or head.endswith("uyendo") and len(head) - 5 >= rv:
+            w = head
+    start = w
+    s, k = _longest_of(w, _ES_PLAIN, _ES_TION, ("logía", "logías"), ("ución", "uciones"), ("encia", "encias"), ("amente",), ("mente",), ("idad", "idades"), ("iva", "ivo", "ivas", "ivos"))
+    head = w[: len(w) - len(s)]
+    if k == 5 and len(head) >= r1:
+        w = _without(head[:-2], ("at",), r2) if head.endswith("iv") and len(head) - 2 >= r2 else _without(head, ("os", "ic", "ad"), r2)
+    elif k >= 0 and k != 5 and len(head) >= r2:
+        w = head + {2: "log", 3: "u", 4: "ente"}.get(k, "")
+        w = _without(w, {1: ("ic",), 6: ("ante", "able", "ible"), 7: ("abil", "ic", "iv"), 8: ("at",)}.get(k, ()), r2)
+    if w == start:
+        y = _ends(w, _ES_Y, rv)
+        if y and w[: -len(y)].endswith("u"):
+            w = w[: -len(y)]
+        else:
+            s = _ends(w, (*_ES_VERBS, "en", "es", "éis", "emos"), rv)
+            if s:
+                w = w[: -len(s)]
+                if s in ("en", "es", "éis", "emos") and w.endswith("gu"):
+                    w = w[:-1]
+    if s := _ends(w, ("os", "a", "o", "á", "í", "ó"), rv):
+        w = w[: -len(s)]
+    elif _ends(w, ("e", "é"), rv):
+        w = w[:-1]
+        if w.endswith("gu") and len(w) - 1 >= rv:
+            w = w[:-1]
+    return w.translate(_ACUTE)
+
+
+# The endings of the published Russian algorithm; those of the first kind stand behind а or я.
+_RU_GERUND = "в вши вшись".split(), "ив ивши ившись ыв ывши ывшись".split()
+_RU_ADJECTIVE = "ее ие ые ое ими ыми ей ий ый ой ем им ым ом его ого ему ому их ых ую юю ая яя ою ею".split()
+_RU_PARTICIPLE = "ем нн вш ющ щ".split(), "ивш ывш ующ".split()
+_RU_VERB = "ла на ете йте ли й л ем н ло но ет ют ны ть ешь нно".split(), "ила ыла ена ейте уйте ите или ыли ей уй ил ыл им ым ен ило ыло ено ят ует уют ит ыт ены ить ыть ишь ую ю".split()
+_RU_NOUN = "а ев ов ие ье е иями ями ами еи ии и ией ей ой ий й иям ям ием ем ам ом о у ах иях ях ы ь ию ью ю ия ья я".split()
+
+
+def russian(w: str) -> str:
+    """The published Russian algorithm of the Snowball family."""
+    vowels = "аеиоуыэюя"
+    w = w.replace("ё", "е")
+    rv = next((i + 1 for i, c in enumerate(w) if c in vowels), len(w))
+    r2 = _region(w, vowels, _region(w, vowels))
+
+    def two_kinds(x: str, kinds) -> str:
+        behind, free = kinds
+        best = max((s for s in (*behind, *free) if x.endswith(s) and len(x) - len(s) >= rv and (s in free or x[: -len(s)][rv:].endswith(("а", "я")))), key=len, default="")
+        return x[: -len(best)] if best else x
+
+    x = two_kinds(w, _RU_GERUND)
+    if x == w:
+        w = _without(w, ("ся", "сь"), rv)
+        x = _without(w, _RU_ADJECTIVE, rv)
+        if x != w:
+            x = two_kinds(x, _RU_PARTICIPLE)
+        else:
+            x = two_kinds(w, _RU_VERB)
+            if x == w:
+                x = _without(w, _RU_NOUN, rv)
+    w = _without(x, ("и",), rv)
+    w = _without(w, ("ость", "ост"), max(r2, rv))
+    x = _without(w, ("ейше", "ейш"), rv)
+    if x.endswith("нн") and len(x) - 2 >= rv:
+        return x[:-1]
+    return x if x != w else _without(w, ("ь",), rv)
+
+
+NAMES: dict[str, Callable[[str], str]] = {"porter": porter, "arabic": arabic, "german": german, "swedish": swedish, "norwegian": norwegian, "danish": danish, "dutch": dutch, "portuguese": portuguese, "brazilian": brazilian, "french": french, "spanish": spanish, "russian": russian}
 
 
 def by_name(name: str) -> Callable[[str], str]:
