@@ -237,6 +237,8 @@ class CountingTransducer:
             raise ValueError("only byte-level BPE without prefix space or normalizer can be compiled")
         self.library = Tokenizer.from_file(path).pre_tokenizer
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
+        if any(x.get(flag) for x in spec.get("added_tokens", []) for flag in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take white space with them or stand as words only are not compiled")
         self.merger = Merger(spec["model"]["vocab"], spec["model"]["merges"])
         self.classes = np.full(0x110000, UNKNOWN, np.uint8)
         for c, k in ((" ", SPACE), ("'", QUOTE), ("r", R), ("v", V), ("l", ELL), ("e", E), *((x, STMD) for x in "stmd")):
