@@ -259,6 +259,120 @@ def _longest_of(w: str, *tables) -> tuple[str, int]:
     return max(((s, k) for k, t in enumerate(tables) for s in t if w.endswith(s)), key=lambda x: len(x[0]), default=("", -1))
 
 
+# Words that the published English algorithm treats apart, and its suffixes by step.
+_EN_WHOLE = dict(zip("skis skies dying lying tying idly gently ugly early only singly".split(), "ski sky die lie tie idl gentl ugli earli onli singl".split())) | {w: w for w in "sky news howe atlas cosmos bias andes".split()}
+_EN_PLURAL = frozenset("inning outing canning herring earring proceed exceed succeed".split())
+_EN_STEP2 = {"tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful", "lessli": "less", "li": ""}
+_EN_STEP3 = {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": ""}
+_EN_STEP4 = "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize ion".split()
+
+
+def english(w: str) -> str:
+    """The published second English algorithm of the Snowball family."""
+    vowels = "aeiouy"
+    if len(w) < 3 or w in _EN_WHOLE:
+        return _EN_WHOLE.get(w, w)
+    w = w.removeprefix("'")
+    w = "".join("Y" if c == "y" and (not i or w[i - 1] in vowels) else c for i, c in enumerate(w))
+    r1 = next((len(x) for x in ("gener", "commun", "arsen") if w.startswith(x)), None) or _region(w, vowels)
+    r2 = _region(w, vowels, r1)
+
+    def short_syllable(x: str) -> bool:
+        if len(x) == 2:
+            return x[0] in vowels and x[1] not in vowels
+        return len(x) > 2 and x[-3] not in vowels and x[-2] in vowels and x[-1] not in vowels + "wxY"
+
+    def has_vowel(x: str) -> bool:
+        return any(c in vowels for c in x)
+
+    w = w[: len(w) - len(_ends(w, ("'s'", "'s", "'"), 0))]
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith(("ied", "ies")):
+        w = w[: -2 if len(w) > 4 else -1]
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and has_vowel(w[:-2]):
+        w = w[:-1]
+    if w in _EN_PLURAL:
+        return w
+    s = _ends(w, ("eed", "eedly", "ed", "edly", "ing", "ingly"), 0)
+    if s.startswith("eed"):
+        w = w[: -len(s)] + "ee" if len(w) - len(s) >= r1 else w
+    elif s and has_vowel(w[: -len(s)]):
+        w = w[: -len(s)]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif w.endswith(tuple(c + c for c in "bdfgmnprt")):
+            w = w[:-1]
+        elif len(w) <= r1 and short_syllable(w):
+            w += "e"
+    if len(w) > 2 and w[-1] in "yY" and w[-2] not in vowels:
+        w = w[:-1] + "i"
+    s = _longest(w, _EN_STEP2) or ""
+    head = w[: len(w) - len(s)]
+    if s and len(head) >= r1 and (s != "ogi" or head.endswith("l")) and (s != "li" or head[-1:] in tuple("cdeghkmnrt")):
+        w = head + _EN_STEP2[s]
+    s = _longest(w, _EN_STEP3) or ""
+    head = w[: len(w) - len(s)]
+    if s and len(head) >= (r2 if s == "ative" else r1):
+        w = head + _EN_STEP3[s]
+    s = _longest(w, _EN_STEP4) or ""
+    head = w[: len(w) - len(s)]
+    if s and len(head) >= r2 and (s != "ion" or head.endswith(("s", "t"))):
+        w = head
+    if w.endswith("e") and (len(w) - 1 >= r2 or len(w) - 1 >= r1 and not short_syllable(w[:-1])):
+        w = w[:-1]
+    elif w.endswith("ll") and len(w) - 1 >= r2:
+        w = w[:-1]
+    return w.lower()
+
+
+# The endings of the published Italian algorithm.
+_IT_PRONOUNS = "ci gli la le li lo mi ne si ti vi sene gliela gliele glieli glielo gliene mela mele meli melo mene tela tele teli telo tene cela cele celi celo cene vela vele veli velo vene".split()
+_IT_PLAIN = "anza anze ico ici ica ice iche ichi ismo ismi abile abili ibile ibili ista iste isti istà istè istì oso osi osa ose mente atrice atrici ante anti".split()
+_IT_VERBS = (
+    "ammo ando ano are arono asse assero assi assimo ata ate ati ato ava avamo avano avate avi avo emmo enda ende endi endo erà erai eranno ere erebbe erebbero erei eremmo eremo ereste eresti erete erò erono essero ete eva evamo evano evate evi evo "
+    "Yamo iamo immo irà irai iranno ire irebbe irebbero irei iremmo iremo ireste iresti irete irò irono isca iscano isce isci isco iscono issero ita ite iti ito iva ivamo ivano ivate ivi ivo ono uta ute uti uto ar ir"
+).split()
+
+
+def italian(w: str) -> str:
+    """The published Italian algorithm of the Snowball family."""
+    vowels = "aeiouàèìòù"
+    w = w.translate(str.maketrans("áéíóú", "àèìòù"))
+    w = "".join("U" if c == "u" and w[i - 1 : i] == "q" else c.upper() if c in "ui" and 0 < i < len(w) - 1 and w[i - 1] in vowels and w[i + 1] in vowels else c for i, c in enumerate(w))
+    rv = _after_vowel(w, vowels)
+    r1 = _region(w, vowels)
+    r2 = _region(w, vowels, r1)
+    if p := _ends(w, _IT_PRONOUNS, rv):
+        head = w[: -len(p)]
+        if _ends(head, ("ando", "endo"), rv):
+            w = head
+        elif _ends(head, ("ar", "er", "ir"), rv):
+            w = head + "e"
+    start = w
+    s, k = _longest_of(w, _IT_PLAIN, "azione azioni atore atori".split(), ("logia", "logie"), "uzione uzioni usione usioni".split(), ("enza", "enze"), "amento amenti imento imenti".split(), ("amente",), ("ità",), "ivo ivi iva ive".split())
+    head = w[: len(w) - len(s)]
+    if k == 5:
+        w = head if len(head) >= rv else w
+    elif k == 6:
+        if len(head) >= r1:
+            w = _without(head[:-2], ("at",), r2) if head.endswith("iv") and len(head) - 2 >= r2 else _without(head, ("os", "ic", "abil"), r2)
+    elif k >= 0 and len(head) >= r2:
+        w = head + {2: "log", 3: "u", 4: "ente"}.get(k, "")
+        w = _without(w, {1: ("ic",), 7: ("abil", "ic", "iv")}.get(k, ()), r2)
+        if k == 8 and _ends(w, ("at",), r2):
+            w = _without(w[:-2], ("ic",), r2)
+    if w == start:
+        w = _without(w, _IT_VERBS, rv)
+    if _ends(w, tuple("aeioàèìò"), rv):
+        w = w[:-1]
+        if _ends(w, ("i",), rv):
+            w = w[:-1]
+    if _ends(w, ("ch", "gh"), rv):
+        w = w[:-1]
+    return w.lower()
+
+
 _UMLAUTS = str.maketrans("äëïöüáéíóú", "aeiouaeiou")
 
 
@@ -564,7 +678,7 @@ def russian(w: str) -> str:
     return x if x != w else _without(w, ("ь",), rv)
 
 
-NAMES: dict[str, Callable[[str], str]] = {"porter": porter, "arabic": arabic, "german": german, "swedish": swedish, "norwegian": norwegian, "danish": danish, "dutch": dutch, "portuguese": portuguese, "brazilian": brazilian, "french": french, "spanish": spanish, "russian": russian}
+NAMES: dict[str, Callable[[str], str]] = {"porter": porter, "arabic": arabic, "german": german, "swedish": swedish, "norwegian": norwegian, "danish": danish, "dutch": dutch, "portuguese": portuguese, "brazilian": brazilian, "french": french, "spanish": spanish, "russian": russian, "english": english, "italian": italian}
 
 
 def by_name(name: str) -> Callable[[str], str]:

@@ -12,6 +12,8 @@ CASES = {
     "brazilian": "boataria boat bobagem bobag bobagens bobagens bobear bob bobinhos bobinh bocadas boc boemia boem boiando boi quiabo quiab quicaram quic quickly quickly quimioterapia quimioterap quintuplicou quintuplic quiosque quiosqu",
     "french": "lances lanc habitable habit éléments élément captifs captif finissions fin souffrirent souffr rugissante rug anticonstitutionnellement anticonstitutionnel chevaux cheval majestueusement majestu",
     "spanish": "chicharrones chicharron torrentes torrent chilenos chilen cheque chequ toreándolo tor",
+    "english": "consigned consign consistency consist consolatory consolatori knackeries knackeri knightly knight generously generous skies sky dying die cried cri ties tie gas gas this this hoping hope hopped hop happy happi by by say say proceed proceed nationalization nation controlling control agreement agreement",
+    "italian": "abbandonata abbandon abbandonare abbandon pronunciamento pronunc propaga propag proprietà propriet pronti pront abbattimento abbatt",
     "russian": "вместе вмест силе сил электромагнитной электромагнитн энергии энерг имели имел представление представлен",
 }
 
