@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +59,13 @@ def prefix_coded(x: Column, shift: int = 0) -> Column:
     return F.concat(F.lit(f"{shift:02x}:"), F.lpad(F.hex(flipped), 16, "0"))
 
 
+def prefix_decoded(term: Column) -> Column:
+    """The long of a ``prefix_coded`` term, its missing low bits zero; other strings give null."""
+    bits = F.conv(F.substring(term, 4, 16), 16, -10).cast("long")
+    shift = F.conv(F.substring(term, 1, 2), 16, 10).cast("int")
+    return F.when(term.rlike("^[0-9a-f]{2}:[0-9A-F]{16}$"), F.call_function("shiftleft", bits, shift).bitwiseXOR(F.lit(-(1 << 63))))
+
+
 def trie_terms(x: Column, step: int = 4) -> Column:
     """Terms of every precision of a long, the full one first."""
     return F.array(*[prefix_coded(x, s) for s in range(0, 64, step)])
@@ -115,8 +123,6 @@ def edit_distance(a: Column, b: Column, most: int | None = None) -> Column:
 
 def compress(data: Column) -> Column:
     """zlib, batch by batch."""
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
         import zlib
@@ -127,8 +133,6 @@ def compress(data: Column) -> Column:
 
 
 def decompress(data: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
         import zlib

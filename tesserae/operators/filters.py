@@ -48,6 +48,15 @@ def cardinality(a: DataFrame, name: str = "n") -> DataFrame:
     return a.agg(F.count("*").alias(name))
 
 
+def counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: both, either, only_a, only_b and one_of, counted in one aggregation."""
+    k = a.columns[0]
+    tagged = a.select(F.col(k).alias("k"), F.lit(1).alias("side")).union(b.select(F.col(b.columns[0]), F.lit(2)))
+    seen = tagged.groupBy("k").agg(F.max((F.col("side") == 1).cast("int")).alias("x"), F.max((F.col("side") == 2).cast("int")).alias("y"))
+    sides = seen.agg(F.count_if((F.col("x") == 1) & (F.col("y") == 1)).alias("both"), F.count("*").alias("either"), F.count_if(F.col("y") == 0).alias("only_a"), F.count_if(F.col("x") == 0).alias("only_b"))
+    return sides.withColumn("one_of", F.col("only_a") + F.col("only_b"))
+
+
 class FilterCache:
     """Filters kept as tables of ids in a folder that all executors share, by the query's canonical text; the oldest go first.
 

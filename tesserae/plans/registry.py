@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import analysis as an
 from tesserae.plans import ast as A
 from tesserae.plans.search import DOC_ORDER, ColumnFilter, DocSet, ScanView, Searcher, SortField
-from tesserae.schema import FieldSpec, Schema, keyword_field
+from tesserae.schema import FieldSpec, Schema, keyword_field, numeric_field
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -523,3 +523,161 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.streaming.prospective import windowed_counts
 
     return windowed_counts(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+# --- more of index maintenance, filters, fields and codecs ---------------------------------------
+
+
+@register("index_delete_query", "SELECT p_partkey FROM part WHERE NOT starts_with(p_brand, 'Brand#1')")
+def index_delete_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = part_index(spark, sf_dir)
+    w.delete_query(A.Prefix("brand", "Brand#1"))
+    w.commit()
+    return w.reader().docs().select("p_partkey")
+
+
+@register("index_undelete", "SELECT p_partkey FROM part")
+def index_undelete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = part_index(spark, sf_dir)
+    w.delete_query(A.Prefix("brand", "Brand#1"))
+    w.undelete_all()
+    return w.reader().docs().select("p_partkey")
+
+
+@register("index_delete_all", "SELECT p_partkey FROM part WHERE p_partkey % 7 = 0")
+def index_delete_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = part_index(spark, sf_dir)
+    w.delete_all()
+    w.add(table(spark, sf_dir, "part").where("p_partkey % 7 = 0"))
+    return w.reader().docs().select("p_partkey")
+
+
+@register("index_expunge", "SELECT count(*) FILTER (WHERE p_brand NOT LIKE 'Brand#1%') AS num_docs, count(*) FILTER (WHERE p_brand NOT LIKE 'Brand#1%') AS max_doc, count(*) AS before FROM part")
+def index_expunge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = part_index(spark, sf_dir)
+    w.delete_query(A.Prefix("brand", "Brand#1"))
+    before = w.reader().max_doc()
+    w.expunge_deletes()
+    r = w.reader()
+    return spark.createDataFrame([(r.num_docs(), r.max_doc(), before)], "num_docs long, max_doc long, before long")
+
+
+@register("index_add_indexes", "SELECT p_partkey FROM part UNION ALL SELECT p_partkey + 1000000 FROM part WHERE p_size < 10")
+def index_add_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.sources.index import IndexWriter
+
+    w = part_index(spark, sf_dir)
+    other = IndexWriter(spark, scratch(spark), PARTS, create=True)
+    other.add(table(spark, sf_dir, "part").where("p_size < 10").withColumn("p_partkey", F.col("p_partkey") + 1000000))
+    w.add_indexes(other.reader())
+    w.optimize(2)
+    return w.reader().docs().select("p_partkey")
+
+
+SIZED = Schema("p_partkey", {"size": numeric_field("p_size"), "name": FieldSpec("p_name", an.WHITESPACE, payload=lambda t: t["pos"] + 1)})
+
+
+def sized_index(spark: SparkSession, sf_dir: str):
+    from tesserae.sources.index import IndexWriter
+
+    w = IndexWriter(spark, scratch(spark), SIZED, create=True)
+    w.add(table(spark, sf_dir, "part"))
+    return w.reader()
+
+
+register("index_numeric_range", "SELECT p_partkey, 1.0::DOUBLE AS score FROM part WHERE p_size > 7 AND p_size <= 33")(lambda spark, sf_dir: Searcher(sized_index(spark, sf_dir)).hits(A.NumericRange("size", 7, 33, False, True)))
+register("scan_numeric_field", "SELECT p_partkey, 1.0::DOUBLE AS score FROM part WHERE p_size >= 20")(lambda spark, sf_dir: Searcher(ScanView(spread(table(spark, sf_dir, "part")), SIZED)).hits(A.NumericRange("size", 20, None)))
+
+
+@register("index_payload_spans", f"WITH d AS (SELECT p_partkey, {PART_TERMS} AS ts FROM part), q AS (SELECT min(string_split(p_name, ' ')[1]) AS term FROM part) SELECT p_partkey, sum(i)::DOUBLE AS total FROM d, q, unnest(range(1, len(ts) + 1)) AS u(i) WHERE ts[i] = term GROUP BY p_partkey")
+def index_payload_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = Searcher(sized_index(spark, sf_dir)).payloads(A.SpanTerm("name", first_term(spark, sf_dir)))
+    return found.select("p_partkey", F.aggregate("payloads", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@register("multi_index_search", SQL["index_search"])
+def multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.sources.index import IndexWriter, MultiIndexView
+
+    readers = []
+    for k in range(2):
+        w = IndexWriter(spark, scratch(spark), PARTS, create=True)
+        w.add(table(spark, sf_dir, "part").where(F.col("p_partkey") % 2 == k))
+        readers.append(w.reader())
+    return Searcher(MultiIndexView(readers)).hits(A.Term("name", first_term(spark, sf_dir)))
+
+
+@register("stored_fields", f"WITH {TOKENS} SELECT DISTINCT doc_id, d.source, d.n_chars FROM t JOIN documents d USING (doc_id) WHERE term = 'with'")
+def stored_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = searcher(spark, sf_dir)
+    return s.documents(s.hits(A.Term("text", "with")).select("doc_id"), table(spark, sf_dir, "documents"), ("source", "n_chars"))
+
+
+@register("query_vector", "SELECT term, count(*) AS freq FROM (SELECT unnest(['to', 'be', 'or', 'not', 'to', 'be']) AS term) GROUP BY term")
+def query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.operators.vectors import query_vector as vector
+
+    return vector(spark, "To be, or not to be!", an.SIMPLE)
+
+
+hits("prefix_filter", A.Term("text", "the"), f"WITH {weights({'the': 1})} SELECT doc_id, round(s, 6) AS score FROM h WHERE doc_id IN (SELECT doc_id FROM p WHERE starts_with(term, 'zu'))", filter=A.Prefix("text", "zu"))
+hits("term_range_filter", A.Term("text", "the"), f"WITH {weights({'the': 1})} SELECT doc_id, round(s, 6) AS score FROM h JOIN documents USING (doc_id) WHERE lang >= 'de' AND lang < 'es'", filter=A.TermRange("lang", "de", "es", True, False))
+hits("combined_query", A.combined([A.any_of(A.Term("text", "the"), A.Term("text", "with"), disable_coord=True), A.Term("text", "with"), A.Term("text", "from")]), f"WITH {weights({'the': 1, 'with': 1, 'from': 1})} SELECT doc_id, round(sum(s), 6) AS score FROM h GROUP BY doc_id")
+hits("prefix_auto", A.Prefix("text", "the", "auto"), f"WITH {TOKENS} {CONST} starts_with(term, 'the')")
+
+
+@register("cached_filter", f"WITH {weights({'the': 1})} SELECT doc_id, round(s, 6) AS score FROM h WHERE doc_id IN (SELECT doc_id FROM p WHERE term = 'with')")
+def cached_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.operators.filters import FilterCache
+
+    s = searcher(spark, sf_dir)
+    return s.hits(A.Term("text", "the"), FilterCache(s.view, scratch(spark)).get(A.Term("text", "with")))
+
+
+@register("set_counts", f"WITH {TOKENS}, a AS (SELECT DISTINCT doc_id FROM t WHERE term = 'with'), b AS (SELECT DISTINCT doc_id FROM t WHERE term = 'from') SELECT count(a.doc_id + b.doc_id) AS both, count(*) AS either, count(a.doc_id) - count(a.doc_id + b.doc_id) AS only_a, count(b.doc_id) - count(a.doc_id + b.doc_id) AS only_b, count(*) - count(a.doc_id + b.doc_id) AS one_of FROM a FULL JOIN b USING (doc_id)")
+def set_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.operators.filters import counts
+
+    return counts(docs_with(spark, sf_dir, "with"), docs_with(spark, sf_dir, "from"))
+
+
+register("sort_missing", "SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) ORDER BY coalesce(quality, 0) DESC, doc_id LIMIT 40")(
+    lambda spark, sf_dir: Searcher(ScanView(spread(table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")), DOCS)).search(A.MatchAll(), 40, sort=(SortField("int", "quality", reverse=True),)).select("doc_id")
+)
+
+
+@register("numeric_terms", "SELECT o_orderkey, o_orderkey AS back, (o_orderkey // 16) * 16 AS coarse, true AS sorted FROM orders")
+def numeric_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.functions.codecs import prefix_coded, prefix_decoded
+
+    k = F.col("o_orderkey").cast("long")
+    ordered = (prefix_coded(-k - 1) < prefix_coded(k)) & (prefix_coded(k) < prefix_coded(k + 1))
+    return table(spark, sf_dir, "orders").select("o_orderkey", prefix_decoded(prefix_coded(k)).alias("back"), prefix_decoded(prefix_coded(k, 4)).alias("coarse"), ordered.alias("sorted"))
+
+
+@register("sortable_doubles", "SELECT o_orderkey, (o_totalprice < 150000) AS below FROM orders")
+def sortable_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.functions.codecs import sortable_long
+
+    return table(spark, sf_dir, "orders").select("o_orderkey", (sortable_long(F.col("o_totalprice").cast("double")) < sortable_long(F.lit(150000.0))).alias("below"))
+
+
+@register("compressed", "SELECT p_partkey, p_name AS back FROM part")
+def compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.functions.codecs import compress, decompress
+
+    return table(spark, sf_dir, "part").select("p_partkey", F.decode(decompress(compress(F.encode("p_name", "UTF-8"))), "UTF-8").alias("back"))
+
+
+register("edit_distances", "SELECT p_partkey, levenshtein(p_name, 'green blue') AS d FROM part")(lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", F.levenshtein("p_name", F.lit("green blue")).cast("long").alias("d")))
+token_stats("ngram_filter", an.Analyzer(an.lowercase_letter, (an.ngram_filter(3, 3),)), "list_distinct(list_value()) || flatten(list_transform(list_filter(regexp_extract_all(lower(text), '\\p{L}+'), lambda x: length(x) >= 3), lambda x: list_transform(range(1, length(x) - 1), lambda i: x[i:i+2])))")
+token_stats("latin1", an.Analyzer(an.lowercase_letter, (an.latin1_folding,)), "list_transform(regexp_extract_all(lower(text), '\\p{L}+'), lambda x: replace(strip_accents(x), 'ß', 'ss'))")
+
+
+@register("highlight_field", "SELECT p_partkey, regexp_replace(p_type, '\\b(ECONOMY|SMALL)\\b', '<B>\\1</B>', 'g') AS marked FROM part WHERE regexp_matches(p_type, '\\b(ECONOMY|SMALL)\\b')")
+def highlight_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.operators.highlight import TermMarker, highlight_field, whole
+
+    q = A.any_of(A.Term("type", "economy"), A.Term("type", "small"))
+    found = highlight_field(F.col("p_type"), an.SIMPLE, TermMarker(q), fragmenter=whole)
+    return table(spark, sf_dir, "part").select("p_partkey", F.get(found, 0).alias("marked")).where("marked is not null")

@@ -22,7 +22,7 @@ from typing import Any, Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions.codecs import trie_range
+from tesserae.functions.codecs import prefix_decoded, trie_range
 from tesserae.functions.similarity import Similarity
 from tesserae.operators import positions as P
 from tesserae.plans import ast as A
@@ -708,7 +708,8 @@ class SortField:
             c = c.cast("string")
             c = F.collate(c, self.collation) if self.collation else c
         else:
-            c = F.coalesce(F.expr(f"try_cast({self.column} as {NUMBER[self.kind]})"), F.lit(0))
+            # plain numbers first, then prefix-coded ones
+            c = F.coalesce(F.col(self.column).try_cast(NUMBER[self.kind]), prefix_decoded(F.col(self.column).cast("string")).try_cast(NUMBER[self.kind]), F.lit(0))
         return c.desc_nulls_last() if self.reverse else c.asc_nulls_first()
 
 
