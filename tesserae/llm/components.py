@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.shared import stored
+from tesserae.llm.shared import discard, stored
 from tesserae.llm.textcore import tidied
 
 #: Edges a task holds at once while it thins them to a spanning forest.
@@ -81,6 +81,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         pairs = large.join(lows, "u")
         small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).union(lows.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         nxt = stored(small.where("u > v"), name)
+        discard(e, least, large, lows)
         # finished when the links are stars: no root has a link down, no node two roots
         state = nxt.groupBy("u").agg(F.count("*").alias("n")).alias("a")
         bad = state.where("n > 1").limit(1).count() or nxt.alias("x").join(nxt.select(F.col("u").alias("w")), F.col("x.v") == F.col("w"), "left_semi").limit(1).count()
