@@ -66,6 +66,18 @@ def test_partial_holders_hide_no_passage(spark):
     assert (got["doc_id"], got["start_word"], got["end_word"], got["source_doc_id"], got["source_start"], got["source_end"], got["similarity"]) == (20, 40, 100, 10, 40, 100, 1.0)
 
 
+def test_partial_holders_hide_no_fuzzy_passage(spark):
+    p = invented(60, 700)
+    q = [f"q{n}" if n in (15, 30, 45) else w for n, w in enumerate(p)]
+    cuts = ((0, 25), (18, 44), (37, 60))
+    part = {n + 1: p[a:b] for n, (a, b) in enumerate(cuts)} | {n + 12: q[a:b] for n, (a, b) in enumerate(cuts)}
+    rows = [(i, invented(40, 710 + i) + w + invented(40, 730 + i)) for i, w in part.items()]
+    rows += [(i, invented(40, 750 + i) + w + invented(40, 780 + i)) for i, w in ((10, p), (20, q))]
+    (got,) = reported(spark, rows)
+    assert (got["doc_id"], got["start_word"], got["end_word"], got["source_doc_id"], got["source_start"], got["source_end"]) == (20, 40, 100, 10, 40, 100)
+    assert got["similarity"] == pytest.approx(57 / 60)
+
+
 def test_exact_runs_among_partial_holders(spark):
     r = random.Random(500)
     passages = [invented(r.randrange(50, 110), 510 + n, 100_000) for n in range(12)]
