@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +26,9 @@ Filter = Callable[[Stream], Stream]
 #: Longest run a character tokenizer emits as one token.
 MAX_RUN = 255
 
+#: Tokens that a Python step holds as objects at once; all others of its batch stay in Arrow arrays.
+TOKEN_BLOCK = 1 << 17
+
 # The 33 English stop words.
 ENGLISH_STOP_WORDS = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 
@@ -37,6 +42,12 @@ def map_terms(fn: Callable[[Column], Column]) -> Filter:
     return lambda s: F.transform(s, lambda x: F.struct(fn(x["term"]).alias("term"), x["pos"].alias("pos")))
 
 
+def _lists(n: pa.Array, missing: pa.Array, **fields: pa.Array) -> pa.Array:
+    """Lists of n structs each, null where missing."""
+    at = pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(n.cast(pa.int32()))])
+    return pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(list(fields.values()), list(fields)), mask=missing)
+
+
 # --- tokenizers: text column -> stream ---------------------------------------------------------
 
 
@@ -331,21 +342,22 @@ persian_normalize = map_terms(lambda t: F.translate(t, "یےکۀۂ", "ييكه
 
 
 def stem(name: str, exclude: Iterable[str] = (), override: dict[str, str] | None = None) -> Filter:
-    """Stems by the named algorithm, over whole batches; each distinct term is stemmed once a process."""
+    """Stems by the named algorithm, over whole batches that stay in Arrow's own layout; each distinct term is stemmed once a block of tokens."""
     kept, fixed = frozenset(exclude), dict(override or {})
     fn = stemmers.by_name(name)
 
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("pos", T.IntegerType())])))
-    def run(s: pd.Series) -> pd.Series:
-        known: dict[str, str] = dict(fixed)
-
-        def one(t: str) -> str:
-            out = known.get(t)
-            if out is None:
-                out = known[t] = t if t in kept else fn(t)
-            return out
-
-        return s.map(lambda row: None if row is None else [{"term": one(x["term"]), "pos": x["pos"]} for x in row])
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("pos", T.IntegerType())])))
+    def run(s: pa.Array) -> pa.Array:
+        def one(t: str | None) -> str | None:
+            return fixed[t] if t in fixed else t if t is None or t in kept else fn(t)
+
+        n = pc.fill_null(pc.list_value_length(s), 0)
+        tokens, out = s.flatten(), []
+        for i in range(0, len(tokens), TOKEN_BLOCK):
+            terms = pc.struct_field(tokens.slice(i, TOKEN_BLOCK), "term").dictionary_encode()
+            out.append(pa.array(map(one, terms.dictionary.to_pylist()), pa.string()).take(terms.indices))
+        stems = pa.concat_arrays(out) if out else pa.array([], pa.string())
+        return _lists(n, s.is_null(), term=stems, pos=pc.struct_field(tokens, "pos"))
 
     return run
 
