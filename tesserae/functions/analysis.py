@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -145,9 +144,28 @@ STANDARD_TYPES = {
     "<CJ>": f"[{_CJ}]",
     "<ACRONYM_DEP>": rf"{_WORD}\.(?:{_WORD}\.)+",
 }
+#: Runs of all characters that a token may have: no token spans two of them, so each distinct run is read once.
+_CHUNK = rf"[\p{{L}}\p{{Nd}}{_CJ}'.&@_/,\-]+"
+#: Distinct runs that a process remembers, and the longest of them in characters.
+CHUNKS_KNOWN, CHUNK_LONG = 1 << 16, 64
 _standard: list = []
 
 
+def _chunk_tokens(chunk: str, longest: int) -> list[tuple[str | None, str | None]]:
+    """(term, type) of the longest matches in a run; nulls for an over-long one."""
+    out: list[tuple[str | None, str | None]] = []
+    if (word := _standard[4].fullmatch(chunk)) and len(word[1]) <= longest:
+        return [(word[1], "<ALPHANUM>")]  # a word, and no other to join
+    for m in _standard[0].finditer(chunk):
+        term = m.group()
+        if len(term) > longest:
+            out.append((None, None))
+            continue
+        kind = next(t for t, p in _standard[1] if p.fullmatch(term))
+        out.append(("<HOST>", term[:-1])[::-1] if kind == "<ACRONYM_DEP>" else (term, kind))
+    return out
+
+
 def standard_tokens(text: str | None, longest: int = MAX_RUN) -> list[tuple[str, int, str]]:
     """(term, position, type) of the longest matches; over-long ones go but leave their position."""
     import regex
@@ -156,20 +174,44 @@ def standard_tokens(text: str | None, longest: int = MAX_RUN) -> list[tuple[str,
         # V1 syntax for set differences, POSIX matching for the longest alternative
         _standard.append(regex.compile("(?V1p)" + "|".join(f"(?:{p})" for p in STANDARD_TYPES.values())))
         _standard.append([(t, regex.compile(f"(?V1)(?:{p})")) for t, p in STANDARD_TYPES.items()])
-    out = []
-    for pos, m in enumerate(_standard[0].finditer(text or "")):
-        term = m.group()
-        if len(term) <= longest:
-            kind = next(t for t, p in _standard[1] if p.fullmatch(term))
-            if kind == "<ACRONYM_DEP>":
-                kind, term = "<HOST>", term[:-1]
-            out.append((term, pos, kind))
+        _standard.append(regex.compile(f"(?V1){_CHUNK}"))
+        _standard.append({})
+        _standard.append(regex.compile(rf"(?V1)['.&@_/,\-]*({_WORD})['.&@_/,\-]*"))
+    out, pos, known = [], 0, _standard[3]
+    for m in _standard[2].finditer(text or ""):
+        chunk = m.group()
+        own = known.get((chunk, longest))
+        if own is None:
+            own = _chunk_tokens(chunk, longest)
+            if len(chunk) <= CHUNK_LONG:
+                if len(known) >= CHUNKS_KNOWN:
+                    known.clear()
+                known[chunk, longest] = own
+        for term, kind in own:
+            if term is not None:
+                out.append((term, pos, kind))
+            pos += 1
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("type", T.StringType())])))
-def _standard_stream(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [{"term": a, "pos": b, "type": c} for a, b, c in standard_tokens(t)])
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("pos", T.IntegerType()), T.StructField("type", T.StringType())])))
+def _standard_stream(text: pa.Array) -> pa.Array:
+    n, held, done = [], [], []
+
+    def put() -> None:
+        terms, places, kinds = zip(*held) if held else ((), (), ())
+        done.append([pa.array(terms, pa.string()), pa.array(places, pa.int32()), pa.array(kinds, pa.string())])
+        held.clear()
+
+    for t in text:
+        own = standard_tokens(t.as_py())
+        n.append(len(own))
+        held += own
+        if len(held) >= TOKEN_BLOCK:
+            put()
+    put()
+    term, pos, kind = map(pa.concat_arrays, zip(*done))
+    return _lists(pa.array(n, pa.int32()), pa.array([False] * len(n)), term=term, pos=pos, type=kind)
 
 
 def standard(text: Column) -> Stream:

@@ -36,3 +36,12 @@ def test_stems_hold_few_objects():
     out, peak = peak_mb(an.stem("porter").func, batch)
     assert len(out) == n and out[n - 1][1999].as_py() == {"term": "run", "pos": 1999}
     assert peak < 20
+
+
+def test_standard_tokens_hold_few_objects():
+    texts = [None, "", *["AT&T's U.S.A. x-1, a@b.com " * 400] * 200]
+    one = [{"term": t, "pos": p, "type": k} for t, p, k in an.standard_tokens(texts[2])]
+    out, peak = peak_mb(an._standard_stream.func, pa.array(texts))
+    assert out.slice(0, 3).to_pylist() == [[], [], one] and out[201].as_py() == one
+    assert peak < 80
+    assert an.standard_tokens("日本x 3.5 abcdef b", 4) == [("日", 0, "<CJ>"), ("本", 1, "<CJ>"), ("x", 2, "<ALPHANUM>"), ("3.5", 3, "<HOST>"), ("b", 5, "<ALPHANUM>")]
