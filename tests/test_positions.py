@@ -69,3 +69,28 @@ def test_columns_equal_lists(spark):
         assert [tuple(s) for s in x["unordered"]] == near_unordered(lists, 3)
         assert x["sloppy"] == pytest.approx(sloppy_frequency([a, b, c], (0, 1, 2), 4, [0, 1, 2]))
         assert x["repeated"] == pytest.approx(sloppy_frequency([a, b, a], (0, 1, 3), 5, [0, 1, 0]))
+
+
+def test_outside_is_one_fold(spark):
+    from tesserae.functions import analysis as an
+    from tesserae.operators import positions as P
+    from tesserae.plans import ast as A
+    from tesserae.plans.search import ScanView, Searcher
+    from tesserae.schema import FieldSpec, Schema
+
+    r = random.Random(3)
+
+    def spans(n):
+        return sorted((a, a + r.randint(0, 6)) for a in (r.randint(0, 60) for _ in range(n)))
+
+    rows = [(i, spans(r.randint(0, 150 if i % 9 == 0 else 12)), spans(r.randint(0, 8))) for i in range(60)]
+    df = spark.createDataFrame(rows, f"id int, a {P.SPANS}, b {P.SPANS}")
+    got = {x["id"]: [tuple(y) for y in x["o"]] for x in df.select("id", P.outside(F.col("a"), F.col("b")).alias("o")).collect()}
+    assert got == {i: [p for p in a if not any(p[0] < e and s < p[1] for s, e in b)] for i, a, b in rows}
+
+    docs = spark.createDataFrame([(0, "of the " * 900 + "the"), (1, "of the")], "doc_id long, f string")
+    of, the = A.SpanTerm("f", "of"), A.SpanTerm("f", "the")
+    hits = Searcher(ScanView(docs, Schema("doc_id", {"f": FieldSpec("f", an.WHITESPACE)}))).hits(A.SpanNot(the, A.SpanNear((of, the), 0, True)))
+    assert [x["doc_id"] for x in hits.collect()] == [0]
+    # the excluded spans were found anew for each included one
+    assert "exists(" not in hits._jdf.queryExecution().optimizedPlan().toString()
