@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import analysis as an
 from tesserae.plans import ast as A
-from tesserae.plans.search import DOC_ORDER, ColumnFilter, DocSet, ScanView, Searcher, SortField
+from tesserae.plans.search import DOC_ORDER, ColumnFilter, DocSet, ScanView, Searcher, SortField, spread
 from tesserae.schema import FieldSpec, Schema, keyword_field, numeric_field
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,12 +40,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of few files over all cores, so that analysis is not one task; larger tables already have more splits."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() * 2 <= n else df
-
-
 def searcher(spark: SparkSession, sf_dir: str) -> Searcher:
     return Searcher(ScanView(spread(table(spark, sf_dir, "documents")), DOCS))
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.similarity import Similarity, decoded_norm
 from tesserae.plans import ast as A
-from tesserae.plans.search import DOC, POSITIONS, Compiler, Leaf, ScanView, bound, in_terms, norm_name, payload_slot, slot
+from tesserae.plans.search import DOC, POSITIONS, Compiler, Leaf, ScanView, bound, in_terms, norm_name, payload_slot, slot, spread
 from tesserae.schema import Schema
 
 
@@ -181,10 +181,12 @@ class IndexWriter:
     def add(self, docs: DataFrame) -> None:
         """A new segment of documents with distinct ids.
 
-        A document's postings are made within its row; what is shuffled is one
-        range exchange of the finished postings.
+        A document's postings are made within its row, once, by as many tasks as
+        there are cores; what is shuffled is one range exchange of the finished
+        postings, which are written first, so that its sample reads their keys only.
         """
         n = self.now.next_segment
+        docs = spread(docs)
         view = ScanView(docs, self.schema)
         fields = sorted(self.schema.fields)
         name = f"{n:06d}-{uuid.uuid4().hex}"
@@ -192,10 +194,15 @@ class IndexWriter:
         docs.select(*docs.columns, *lengths).write.parquet(f"{self.path}/segments/{name}/docs")
         boost = F.col(self.schema.boost_col).cast("double") if self.schema.boost_col else F.lit(1.0)
         entries = [bound(self._tokens(view, f), self._entries(f)) for f in fields]
-        rows = docs.select(F.col(self.schema.id_col).alias("doc"), boost.alias("boost"), F.explode(F.concat(*entries)).alias("x"))
+        # from the segment's own files, which have the tasks' sizes
+        rows = self.spark.read.schema(docs.schema).parquet(f"{self.path}/segments/{name}/docs").select(F.col(self.schema.id_col).alias("doc"), boost.alias("boost"), F.explode(F.concat(*entries)).alias("x"))
         postings = rows.select("x.field", "x.term", "doc", "x.len", "boost", "x.tf", "x.positions", "x.payloads")
+        held = f"rewrite/{uuid.uuid4().hex}"
+        postings.write.parquet(f"{self.path}/{held}")
+        postings = self.spark.read.schema(postings.schema).parquet(f"{self.path}/{held}")
         n_parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         postings.repartitionByRange(n_parts, "field", "term", "doc").sortWithinPartitions("field", "term", "doc").write.parquet(f"{self.path}/segments/{name}/postings")
+        self.files.delete(held)
         self.now.segments.append(name)
         self.now.sizes[name] = self.spark.read.parquet(f"{self.path}/segments/{name}/docs").count()  # from the files' footers
         self.now.next_segment = n + 1

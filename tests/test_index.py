@@ -75,3 +75,15 @@ def test_fragments():
     got = fragments(text, w, 2, 40, tag(), lambda s: s)
     assert len(got) == 2 and all("<B>fox</B>" in f for f, _ in got)
     assert fragments("nothing here", w, 2, 40, tag(), lambda s: s) == []
+
+
+def test_a_segment_of_one_file_is_made_by_all_cores(spark, tmp_path):
+    import glob
+
+    frame(spark, [(i, f"a w{i % 7}", "x") for i in range(200)]).coalesce(1).write.parquet(f"{tmp_path}/one")
+    w = IndexWriter(spark, f"file://{tmp_path}/index", SCHEMA, create=True)
+    w.add(spark.read.parquet(f"{tmp_path}/one"))
+    assert len(glob.glob(f"{tmp_path}/index/segments/*/docs/part-*")) > 1
+    assert not glob.glob(f"{tmp_path}/index/rewrite/*")
+    assert w.reader().num_docs() == 200 and ids(w.reader().docs()) == list(range(200))
+    assert w.reader().postings("f").count() == 400
