@@ -142,9 +142,13 @@ class ScanView:
         counts = rows.agg(F.count("*").alias("n"), *[F.count_if(F.size(slot(i)) > 0).alias(slot(i)) for i in range(len(leaves))]).first()
         return [counts[slot(i)] for i in range(len(leaves))], counts["n"]
 
+    def tokens(self, f: str) -> Column:
+        """A field's stream as (term, pos) only."""
+        return F.transform(self._stream(f), lambda t: F.struct(t["term"].alias("term"), t["pos"].alias("pos")))
+
     def postings(self, f: str) -> DataFrame:
         """(term, doc, tf, positions) of a field: a narrow plan."""
-        tokens = F.transform(self._stream(f), lambda t: F.struct(t["term"].alias("term"), t["pos"].alias("pos")))
+        tokens = self.tokens(f)
         entry = lambda term, own: F.struct(term.alias("term"), F.size(own).cast("long").alias("tf"), F.transform(own, lambda t: t["pos"]).alias("positions"))
         return self.docs.select(F.col(self.schema.id_col).alias(DOC), F.explode(in_terms(tokens, entry)).alias("e")).select("e.term", DOC, "e.tf", "e.positions")
 

@@ -45,3 +45,17 @@ def test_standard_tokens_hold_few_objects():
     assert out.slice(0, 3).to_pylist() == [[], [], one] and out[201].as_py() == one
     assert peak < 80
     assert an.standard_tokens("日本x 3.5 abcdef b", 4) == [("日", 0, "<CJ>"), ("本", 1, "<CJ>"), ("x", 2, "<ALPHANUM>"), ("3.5", 3, "<HOST>"), ("b", 5, "<ALPHANUM>")]
+
+
+def test_term_vectors_are_made_within_rows(spark):
+    from tesserae.operators.vectors import term_vectors
+    from tesserae.plans.search import ScanView
+    from tesserae.schema import FieldSpec, Schema
+
+    docs = spark.createDataFrame([(1, "b a b c"), (2, ""), (3, "z z y")], "doc_id long, f string")
+    view = ScanView(docs, Schema("doc_id", {"f": FieldSpec("f", an.WHITESPACE)}))
+    v = term_vectors(view, "f")
+    got = {r["doc_id"]: [tuple(e) for e in r["entries"]] for r in v.collect()}
+    assert got == {1: [("b", 2, [0, 2]), ("a", 1, [1]), ("c", 1, [3])], 3: [("z", 2, [0, 1]), ("y", 1, [2])]}
+    assert [r["doc_id"] for r in term_vectors(view, "f", lambda d: d > 1).collect()] == [3]
+    assert "Exchange" not in v._jdf.queryExecution().executedPlan().toString()
