@@ -333,7 +333,8 @@ def fold_latin1(term: Column) -> Column:
     for c, d in many.items():
         if c in "ÆæÞþßŒœĲĳﬀﬁﬂ":
             out = F.replace(out, F.lit(c), F.lit(d))
-    return out
+    # a term of single bytes has none of these letters
+    return F.when(F.octet_length(term) > F.length(term), out).otherwise(term)
 
 
 latin1_folding = map_terms(fold_latin1)

@@ -157,7 +157,7 @@ class ScanView:
         def marked(ts: Column) -> Column:
             return F.transform(ts, lambda t, i: F.struct(t.alias("term"), F.when(i == 0, True).otherwise(F.get(ts, i - 1) != t).cast("long").alias("first")))
 
-        tokens = self.docs.select(F.explode(bound(F.array_sort(F.transform(self._stream(f), lambda t: t["term"])), marked)).alias("x"))
+        tokens = self.docs.select(F.explode(bound(F.sort_array(F.transform(self._stream(f), lambda t: t["term"])), marked)).alias("x"))
         return tokens.groupBy(F.col("x.term").alias("term")).agg(F.sum("x.first").alias("df"), F.count("*").alias("cf"))
 
 
